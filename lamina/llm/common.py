@@ -67,3 +67,10 @@ def known(column: Column | str) -> Column:
     """A string that is never null and differs for null and every value, to join or group by."""
     column = F.col(column) if isinstance(column, str) else column
     return F.when(column.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), column.cast("string")))
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later plans know its size, and nothing is run twice."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
