@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm.common import cut, known, table, words
 
@@ -12,11 +13,20 @@ LIMIT = 3
 SEED = 42
 #: Expected copies are counted in units of 2^-32.
 UNIT = 1 << 32
-#: A size class of a source that has more rows than this is numbered in parts.
-CLASS_ROWS = 1000
+#: Parts that a source's size classes are numbered in; a power of two.
 PARTS = 512
 
 
+def part_of(id_col: str, kind: T.DataType) -> Column:
+    """A part from a hash of the id: a multiplicative one for integers, which other SQL engines can repeat."""
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        low = F.col(id_col).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        part = F.shiftright((low * 1640531527).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - PARTS.bit_length() + 1)
+    else:
+        part = F.pmod(F.xxhash64(id_col), F.lit(PARTS))
+    return F.coalesce(part, F.lit(0)).cast("int")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """Add ``target`` to one row per source (``source``, ``source_size``).
 
@@ -47,7 +57,7 @@ def _start(seed: int):
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT, seed: int = SEED, class_rows: int = CLASS_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` to rows of ``doc_id``, ``source``, ``size`` and any other columns.
 
     A document's expected copies are its source's target over its size. Within each source, documents stand in
@@ -55,37 +65,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMI
     emitted once per integer boundary its interval crosses. In order of size, a source's taken words miss its
     target by no more than about its longest document, and no document has more than ``limit`` copies. Reruns agree.
 
-    The prefix sums are exact integers. They are split: a class is a sixteenth of an octave of size, and a class
-    with over ``class_rows`` rows is cut into parts by a hash of doc_id, so no task orders a hot source; a table
-    of class counts gives each part's offset. A null source is a source of its own, a null size counts as 0, a
-    source without words keeps each document once. Rows with equal size and doc_id are alike to the sampling.
+    The prefix sums are exact integers and they are split: a source's classes are a sixteenth of an octave of
+    size, each in ``PARTS`` parts by a hash of doc_id, so no task orders a hot source or a group of copies; a
+    table of their counts gives each part's offset. Rows are shuffled once. A null source is a source of its own,
+    a null size counts as 0, a source without words keeps each document once. Rows with equal size and doc_id are
+    alike to the sampling. Columns named ``source_size``, ``target`` or ``copies`` are replaced.
     """
     size = F.coalesce(F.col("size"), F.lit(0)).cast("long")
-    rows = docs.withColumns(
-        {"__source": known("source"), "__class": F.floor(F.log2(size + 1) * 16).cast("int"), "__hash": F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"), "__size": size}
+    place = ["__source", "__class", "__part"]
+    rows = docs.drop("source_size", "target", "copies").withColumns(
+        {"__source": known("source"), "__class": F.floor(F.log2(size + 1) * 16).cast("int"), "__part": part_of("doc_id", docs.schema["doc_id"].dataType), "__size": size}
     )
-    counts = rows.groupBy("__source", "source", "__class", "__hash").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
+    counts = rows.groupBy(*place, "source").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
     by_source = counts.groupBy("source").agg(F.sum("__words").alias("source_size"))
     goals = targets(by_source, weights, limit).withColumn("__start", _start(seed)).withColumn(
         "__each", F.when(F.col("source_size") == 0, F.lit(UNIT)).otherwise(F.floor(F.col("target") * UNIT / F.col("source_size")))
     ).select(known("source").alias("__source"), "source_size", "target", "__start", F.col("__each").cast("long"))
-    in_class = F.sum("__n").over(Window.partitionBy("__source", "__class"))
-    parts = counts.withColumn("__part", F.when(in_class > class_rows, F.col("__hash")).otherwise(0))
-    totals = parts.groupBy("__source", "__class", "__part").agg(F.sum("__n").alias("__n")).join(goals, "__source")
     before = Window.partitionBy("__source").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
     share = F.pmod(F.col("__each") * F.pmod(F.col("__n"), F.lit(1 << 29)), F.lit(UNIT))
-    offsets = totals.withColumn("__offset", F.pmod(F.coalesce(F.sum(share).over(before), F.lit(0)) + F.col("__start"), F.lit(UNIT)))
-    plan = parts.select("__source", "__class", "__hash", "__part").join(offsets.drop("__n", "__start"), ["__source", "__class", "__part"])
-    within = Window.partitionBy("__source", "__class", "__part").orderBy("__size", "doc_id")
-    end = F.col("__offset") + F.col("__each") * F.row_number().over(within)
+    offset = F.pmod(F.coalesce(F.sum(share).over(before), F.lit(0)) + F.col("__start"), F.lit(UNIT))
+    plan = counts.join(goals, "__source").select(*place, "source_size", "target", "__each", offset.alias("__offset"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*place).orderBy("__size", "doc_id")))
+    end = F.col("__offset") + F.col("__each") * F.col("__rank")
     return (
-        rows.join(plan, ["__source", "__class", "__hash"])
-        .withColumn("__end", end)
-        .withColumn("copies", (F.shiftright("__end", 32) - F.shiftright(F.col("__end") - F.col("__each"), 32)).cast("int"))
-        .drop("__source", "__class", "__hash", "__part", "__size", "__offset", "__each", "__end")
+        ranked.join(plan, place)
+        .withColumn("copies", (F.shiftright(end, 32) - F.shiftright(end - F.col("__each"), 32)).cast("int"))
+        .drop(*place, "__size", "__rank", "__offset", "__each")
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with ``doc_id``, ``source`` and ``text``), each as often as the mix takes it."""
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "source", words("text").alias("size"))
+    return mix(rows).select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("__row.*")
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes from each. The text is read once; what is shuffled has no text."""
     slim = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("size")))
@@ -108,7 +122,7 @@ e AS (
     CAST('0x' || substr(md5('{SEED}:' || CASE WHEN source IS NULL THEN '0' ELSE '1' || source END), 1, 8) AS BIGINT) AS start FROM t),
 p AS (
   SELECT d.doc_id, d.size, e.source_size, e.target, e.each, e.start
-    + e.each * row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(d.size + 1) * 16), d.size, d.doc_id NULLS FIRST) AS place
+    + e.each * row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(d.size + 1) * 16), coalesce((((doc_id & 4294967295) * 1640531527) & 4294967295) >> {33 - PARTS.bit_length()}, 0), d.size, d.doc_id NULLS FIRST) AS place
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, CAST(size * ((place >> 32) - ((place - each) >> 32)) AS BIGINT) AS taken FROM p
 """
