@@ -98,10 +98,11 @@ def build(items: list[tuple]) -> Index:
     )
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, free: bool = True) -> tuple[int, int]:
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, free: bool = True) -> tuple[int, int]:
     """Least edits between all of ``item`` and a passage of ``text`` on diagonals ``low`` to ``high``, and the passage's end.
 
-    The passage starts anywhere, or at 0 without ``free``, and ends anywhere.
+    The passage starts anywhere, or at 0 without ``free``, and ends anywhere. The least of a row never falls from
+    one row to the next, so an alignment that has gone over ``budget`` is given up.
     """
     width = high - low + 1
     far = np.int64(1 << 30)
@@ -120,6 +121,8 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, free: bool =
         place = steps + low + j + 1
         now = np.where((place >= 0) & (place <= len(text)), now, far)
         cost = np.minimum.accumulate(now - steps) + steps
+        if j % 8 == 7 and cost.min() > budget:
+            break
     best = int(np.argmin(cost))
     return int(min(cost[best], far)), best + low + len(item)
 
@@ -144,6 +147,10 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     keys = np.concatenate([probe * bands + band, probe * bands + band - 1])  # band b has the diagonals of steps b and b + 1
     key, count = np.unique(keys[keys >= 0], return_counts=True)
     key = key[count >= index.least[key // bands]]
+    if len(key):  # a gram of the item counts once in a band, however often a repetitive text has it
+        some = np.isin(keys, key)
+        key, count = np.unique(np.unique(keys[some] * WINDOW + np.tile(index.place[entry], 2)[some]) // WINDOW, return_counts=True)
+        key = key[count >= index.least[key // bands]]
     best: dict[int, tuple[int, int, int]] = {}
     for p, b in zip((key // bands).tolist(), (key % bands).tolist()):
         item, budget = index.probes[p], int(index.budget[p])
@@ -154,10 +161,10 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
         if exact >= 0 and exact % 4 == 0:
             edits, start, end = 0, first + exact // 4, first + exact // 4 + len(item)
         else:
-            edits, end = align(item, points, low, high)
+            edits, end = align(item, points, low, high, budget)
             if edits > budget:
                 continue
-            back, length = align(item[::-1], points[max(0, end - len(item) - budget) : end][::-1], -budget, budget, free=False)
+            back, length = align(item[::-1], points[max(0, end - len(item) - budget) : end][::-1], -budget, budget, budget, free=False)
             start = end - length
         own = int(index.owner[p])
         if start < end and (edits, start) < best.get(own, (1 << 30,))[:2]:
