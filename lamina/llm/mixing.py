@@ -81,10 +81,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMI
     goals = targets(by_source, weights, limit).withColumn("__start", _start(seed)).withColumn(
         "__each", F.when(F.col("source_size") == 0, F.lit(UNIT)).otherwise(F.floor(F.col("target") * UNIT / F.col("source_size")))
     ).select(known("source").alias("__source"), "source_size", "target", "__start", F.col("__each").cast("long"))
-    before = Window.partitionBy("__source").orderBy("__class", "__part").rowsBetween(Window.unboundedPreceding, -1)
     share = F.pmod(F.col("__each") * F.pmod(F.col("__n"), F.lit(1 << 29)), F.lit(UNIT))
-    offset = F.pmod(F.coalesce(F.sum(share).over(before), F.lit(0)) + F.col("__start"), F.lit(UNIT))
-    plan = counts.join(goals, "__source").select(*place, "source_size", "target", "__each", offset.alias("__offset"))
+    shared = counts.join(goals, "__source").withColumn("__share", share)
+    # first over a source's classes, of which there are a few hundred, then over a class's parts
+    ahead = F.coalesce(F.sum("__share").over(Window.partitionBy("__source").orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = shared.groupBy("__source", "__class").agg(F.sum("__share").alias("__share")).select("__source", "__class", ahead.alias("__ahead"))
+    before = F.coalesce(F.sum("__share").over(Window.partitionBy("__source", "__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = shared.withColumn("__before", before).join(classes, ["__source", "__class"]).select(
+        *place, "source_size", "target", "__each", F.pmod(F.col("__before") + F.col("__ahead") + F.col("__start"), F.lit(UNIT)).alias("__offset")
+    )
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*place).orderBy("__size", "doc_id")))
     end = F.col("__offset") + F.col("__each") * F.col("__rank")
     return (
