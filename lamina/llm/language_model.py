@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,17 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An integer array, compressed by planes of bytes: the high ones of small numbers are zeros."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def extended(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of the n-grams that are one word longer."""
     h = (left * U(0x9E3779B97F4A7C15) + right) * U(0xBF58476D1CE4E5B9)
@@ -41,8 +53,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def row():
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), U, len(known))
+            spoken = np.concatenate(words)
+            order = np.argsort(-np.bincount(spoken, minlength=len(known)), kind="stable")  # frequent words get small numbers
+            number = np.empty(len(known), np.int32)
+            number[order] = np.arange(len(known), dtype=np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(id_type)), pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.concatenate(words or [np.zeros(0, np.int32)]).tobytes()], pa.binary()), pa.array([total], pa.int64())],
+                [pa.array([ids], pa.list_(id_type)), *[pa.array([pack(x)], pa.binary()) for x in (np.array(sizes, np.int32), hashes[order], number[spoken])], pa.array([total], pa.int64())],
                 names=["ids", "sizes", "hashes", "words", "n"],
             )
 
@@ -66,8 +82,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def grams(sizes: bytes, hashes: bytes, words: bytes, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each n: the hash of the n-gram that ends at each word, where one does, and each word's place in its document."""
-    sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
-    one = np.frombuffer(hashes, U)[np.frombuffer(words, np.int32)]
+    sizes = unpack(sizes, np.int32).astype(np.int64)
+    one = unpack(hashes, U)[unpack(words, np.int32)]
     place = np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out, now = [], one
     for n in range(1, order + 1):
@@ -90,7 +106,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     rows = saved(chunks(docs, id_col, text_col), "chunks")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = total // BUCKET_WORDS + 1
-    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], U)
+    floors = np.array([(i << 64) // buckets for i in range(buckets)], U)
+    bounds = floors[1:]
 
     def ask(batches):
         for batch in batches:
@@ -102,26 +119,26 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(full, pa.int64()), pa.array(np.full(len(full), n), pa.int32()), pa.array([chunk.as_py()] * len(full), pa.int64()),
-                            pa.array([distinct[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([count[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in full], pa.binary()),
+                            pa.array([pack(np.diff(distinct[cuts[b] : cuts[b + 1]], prepend=floors[b])) for b in full], pa.binary()), pa.array([pack(count[cuts[b] : cuts[b + 1]].astype(np.uint32)) for b in full], pa.binary()),
                         ],
                         names=["bucket", "n", "chunk", "hashes", "counts"],
                     )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["hashes"].map(len).to_numpy() // 8
-        keys = np.frombuffer(b"".join(pdf["hashes"]), U)
-        counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.float64)
-        distinct, at = np.unique(keys, return_inverse=True)
+        keys = [np.cumsum(unpack(h, U), dtype=U) + floors[b] for h, b in zip(pdf["hashes"], pdf["bucket"])]
+        counts = np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]]).astype(np.float64)
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         found = np.bincount(at, counts, len(distinct)).astype(np.int64)[at]
+        sizes = np.array([len(k) for k in keys])
         ends = np.cumsum(sizes)
-        return pdf[["chunk", "n", "bucket"]].assign(counts=[found[e - s : e].tobytes() for s, e in zip(sizes, ends)])
+        return pdf[["chunk", "n", "bucket"]].assign(counts=[pack(found[e - s : e]) for s, e in zip(sizes, ends)])
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         counts = []
         for n, (h, whole, place) in enumerate(grams(row["sizes"], row["hashes"], row["words"], order), 1):
             mine = right[right["n"] == n].sort_values("bucket")
-            table = np.frombuffer(b"".join(mine["counts"]), np.int64)  # in the order of the hashes asked for
+            table = np.concatenate([np.zeros(0, np.int64), *[unpack(c, np.int64) for c in mine["counts"]]])  # in the order of the hashes asked for
             at = np.zeros(len(h), np.int64)
             at[whole] = table[np.unique(h[whole], return_inverse=True)[1]] if whole.any() else 0
             counts.append(at)
@@ -132,7 +149,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
             longer = np.where(tried, value + np.log10(alpha), value)
             longer[seen] = np.log10(counts[n - 1][seen] / counts[n - 2][seen - 1])
             value = longer
-        sizes = np.frombuffer(row["sizes"], np.int32)
+        sizes = unpack(row["sizes"], np.int32)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         return pd.DataFrame({"id": list(row["ids"]), "n_words": sizes.astype(np.int64), "log10_score": np.bincount(owner, value, len(sizes))})
 
