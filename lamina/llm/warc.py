@@ -26,6 +26,8 @@ LEAST = 1000
 #: Lines of an index block, and bytes after which a task begins another archive file.
 LINES, FILE_BYTES = 3000, 1 << 30
 LEVEL = 6
+#: Bytes of archives that a task reads.
+TASK_BYTES = 64 << 20
 END = b"\r\n"
 CAPTURE = "key string, page_id long, type string, file string, offset long, length long"
 #: Fixed value: the profile that the standard names for a record that has the payload of another.
@@ -238,9 +240,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     out = []
             yield _records(out)
 
-    # a thousand records of a file go to one task, so that a large file is not one task
-    dealt = captures_of(spark, path).select("file", "offset", "length").withColumn("stretch", F.shiftright("offset", 23))
-    return dealt.repartition("file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(get, "page_id long, type string, refers_to long, digest string, payload binary")
+    # 8 MB of a file stay together, and the tasks follow from the bytes to read, as the rows dealt are small
+    dealt = saved(captures_of(spark, path).select("file", "offset", "length"), "places").withColumn("stretch", F.shiftright("offset", 23))
+    tasks = (dealt.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(get, "page_id long, type string, refers_to long, digest string, payload binary")
 
 
 def _records(rows: list[dict]) -> pa.RecordBatch:
