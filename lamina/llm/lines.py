@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import known, saved, table
 
 #: A line is boilerplate if over this part of its host's pages have it, and at least so many.
-RATIO, LEAST_PAGES = 0.2, 3
+RATIO, LEAST_PAGES = 0.1, 3
 
 
 def host_of(url: Column | str) -> Column:
@@ -48,13 +48,12 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
     have no lines; repeated rows count as pages each. Lines compare whole, by their MD5.
     """
     named = pages.withColumns({"host": host, "__lines": lines})
-    keyed = named.select("*", known("host").alias("site"), F.transform("__lines", lambda x: F.unhex(F.md5(x.cast("binary")))).alias("keys"))
+    keyed = named.select("*", known("host").alias("site"), F.transform("__lines", lambda x: F.md5(x.cast("binary"))).alias("keys"))
     bad = saved(boilerplate(keyed.select("site", "keys"), ratio, least_pages), "boilerplate")
     joined = keyed.join(bad, "site", "left")
-    gone = F.coalesce(F.col("boilerplate"), F.array())
-    return joined.withColumn(
-        "kept", F.filter("__lines", lambda x, i: ~F.array_contains(gone, F.col("keys")[i]))
-    ).withColumns({"n_lines": F.size("__lines"), "n_dropped": F.size("__lines") - F.size("kept")}).drop("site", "keys", "boilerplate", "__lines")
+    # a set operation first, so that a line is compared with the few that its page has and not with all of its host
+    joined = joined.withColumn("__gone", F.coalesce(F.array_intersect("keys", "boilerplate"), F.array().cast("array<string>")))
+    return joined.withColumn("kept", F.filter("__lines", lambda x, i: ~F.array_contains("__gone", F.col("keys")[i]))).withColumns({"n_lines": F.size("__lines"), "n_dropped": F.size("__lines") - F.size("kept")}).drop("site", "keys", "boilerplate", "__lines", "__gone")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
