@@ -57,6 +57,13 @@ def _start(seed: int):
     return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _product(a: Column, b: Column) -> Column:
+    """a * b modulo 2^32, by halves, as the whole product of two longs can overflow."""
+    low = a.bitwiseAND(F.lit(UNIT - 1))
+    high = F.shiftright(b, 16).bitwiseAND(F.lit(0xFFFF)) * low
+    return F.pmod(F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16) + b.bitwiseAND(F.lit(0xFFFF)) * low, F.lit(UNIT))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
     """Add ``source_size``, ``target`` and ``copies`` to rows of ``doc_id``, ``source``, ``size`` and any other columns.
 
@@ -81,14 +88,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: float = LIMI
     goals = targets(by_source, weights, limit).withColumn("__start", _start(seed)).withColumn(
         "__each", F.when(F.col("source_size") == 0, F.lit(UNIT)).otherwise(F.floor(F.col("target") * UNIT / F.col("source_size")))
     ).select(known("source").alias("__source"), "source_size", "target", "__start", F.col("__each").cast("long"))
-    share = F.pmod(F.col("__each") * F.pmod(F.col("__n"), F.lit(1 << 29)), F.lit(UNIT))
-    shared = counts.join(goals, "__source").withColumn("__share", share)
-    # first over a source's classes, of which there are a few hundred, then over a class's parts
-    ahead = F.coalesce(F.sum("__share").over(Window.partitionBy("__source").orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    classes = shared.groupBy("__source", "__class").agg(F.sum("__share").alias("__share")).select("__source", "__class", ahead.alias("__ahead"))
-    before = F.coalesce(F.sum("__share").over(Window.partitionBy("__source", "__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = shared.withColumn("__before", before).join(classes, ["__source", "__class"]).select(
-        *place, "source_size", "target", "__each", F.pmod(F.col("__before") + F.col("__ahead") + F.col("__start"), F.lit(UNIT)).alias("__offset")
+    # rows ahead: first over a source's classes, of which there are a few hundred, then over a class's parts
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counts.groupBy("__source", "__class").agg(F.sum("__n").alias("__n")).withColumn("__ahead", ahead).drop("__n").join(goals, "__source")
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__source", "__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = counts.withColumn("__before", before).join(classes, ["__source", "__class"]).select(
+        *place, "source_size", "target", "__each", F.pmod(_product(F.col("__each"), F.col("__before") + F.col("__ahead")) + F.col("__start"), F.lit(UNIT)).alias("__offset")
     )
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*place).orderBy("__size", "doc_id")))
     end = F.col("__offset") + F.col("__each") * F.col("__rank")
