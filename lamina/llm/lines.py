@@ -45,15 +45,16 @@ def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float
     """Add ``host``, ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, in order) to each row.
 
     Rows without a host are a site of their own, as are those of a null host. Empty pages count as pages and
-    have no lines; repeated rows count as pages each. Lines compare whole, by their MD5.
+    have no lines; repeated rows count as pages each. Lines compare whole, by their MD5. Columns with the names
+    of the new ones are replaced.
     """
     named = pages.withColumns({"host": host, "__lines": lines})
-    keyed = named.select("*", known("host").alias("site"), F.transform("__lines", lambda x: F.md5(x.cast("binary"))).alias("keys"))
-    bad = saved(boilerplate(keyed.select("site", "keys"), ratio, least_pages), "boilerplate")
-    joined = keyed.join(bad, "site", "left")
+    keyed = named.select("*", known("host").alias("__site"), F.transform("__lines", lambda x: F.md5(x.cast("binary"))).alias("__keys"))
+    bad = saved(boilerplate(keyed.select(F.col("__site").alias("site"), F.col("__keys").alias("keys")), ratio, least_pages), "boilerplate")
+    joined = keyed.join(bad.withColumnsRenamed({"site": "__site", "boilerplate": "__bad"}), "__site", "left")
     # a set operation first, so that a line is compared with the few that its page has and not with all of its host
-    joined = joined.withColumn("__gone", F.coalesce(F.array_intersect("keys", "boilerplate"), F.array().cast("array<string>")))
-    return joined.withColumn("kept", F.filter("__lines", lambda x, i: ~F.array_contains("__gone", F.col("keys")[i]))).withColumns({"n_lines": F.size("__lines"), "n_dropped": F.size("__lines") - F.size("kept")}).drop("site", "keys", "boilerplate", "__lines", "__gone")
+    joined = joined.withColumn("__gone", F.coalesce(F.array_intersect("__keys", "__bad"), F.array().cast("array<string>")))
+    return joined.withColumn("kept", F.filter("__lines", lambda x, i: ~F.array_contains("__gone", F.col("__keys")[i]))).withColumns({"n_lines": F.size("__lines"), "n_dropped": F.size("__lines") - F.size("kept")}).drop("__site", "__keys", "__bad", "__lines", "__gone")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
