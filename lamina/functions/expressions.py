@@ -41,10 +41,9 @@ def fnv32(key: Column | str, prefix: str = "") -> Column:
     start = FNV_OFFSET
     for b in prefix.encode():
         start = (start ^ b) * FNV_PRIME & (1 << 64) - 1
-    digits = F.hex(F.encode(key, "UTF-8"))
-    places = F.filter(F.sequence(F.lit(0), F.octet_length(key)), lambda i: i > 0)  # none for the empty string
-    octet = lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
-    return F.aggregate(places, F.lit(start & MASK32).cast("long"), lambda h, i: (h.bitwiseXOR(octet(i)) * (FNV_PRIME & MASK32)).bitwiseAND(F.lit(MASK32)))
+    # each byte as a character of its own; the array is made once, as what a lambda refers to is not
+    octets = F.filter(F.split(F.decode(F.encode(key, "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
+    return F.aggregate(octets, F.lit(start & MASK32).cast("long"), lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * (FNV_PRIME & MASK32)).bitwiseAND(F.lit(MASK32)))
 
 
 def rate(part: Column, whole: Column, otherwise: float = 0.0) -> Column:

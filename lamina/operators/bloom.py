@@ -22,8 +22,9 @@ def parameters(keys: int, bits_per_key: int = BLOOM_BITS_PER_KEY) -> tuple[int,
 
 def _bits(bits: int, hashes: int, key: str = "key"):
     """The bits of a key: h1 + i h2, from two hashes of which the low 32 bits are enough."""
-    h1, h2 = fnv32(key), fnv32(key, "LSM")
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h1 + i.cast("long") * h2).bitwiseAND(F.lit(bits - 1)))
+    both = F.array(F.struct(fnv32(key).alias("h1"), fnv32(key, "LSM").alias("h2")))  # bound, so that each is folded once
+    places = F.sequence(F.lit(0), F.lit(hashes - 1))
+    return F.flatten(F.transform(both, lambda h: F.transform(places, lambda i: (h["h1"] + i.cast("long") * h["h2"]).bitwiseAND(F.lit(bits - 1)))))
 
 
 def build(keys: DataFrame, bits: int, hashes: int) -> DataFrame:

@@ -26,8 +26,9 @@ def multi_get(mutations: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def missing(mutations: DataFrame, keys: DataFrame) -> DataFrame:
-    """The requested keys that are absent or deleted."""
-    return keys.select("key").join(live(mutations).select("key"), "key", "left_anti")
+    """The requested keys that are absent or deleted. Versions of other keys are dropped before any are reduced."""
+    asked = keys.select("key")
+    return asked.join(live(mutations.join(asked, "key", "left_semi")).select("key"), "key", "left_anti")
 
 
 def scan(mutations: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
