@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,11 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests), removed at exit."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = os.path.join(tempfile.gettempdir(), "checkpoints", "lamina")
+        path = os.path.join("/tmp/checkpoints", f"lamina-{spark.sparkContext.applicationId}")
         spark.sparkContext.setCheckpointDir(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
