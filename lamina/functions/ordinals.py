@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,11 @@ def materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/lamina")
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:  # tests: a local folder, removed at exit
+            path = f"/tmp/checkpoints/lamina-{context.applicationId}"
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+        context.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 
