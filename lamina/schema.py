@@ -42,7 +42,7 @@ LEVEL_FACTOR = 10
 
 
 class Commit(Enum):
-    """When a put is durable: with each batch, or with each ``Options.group`` batches."""
+    """When a batch of rows is durable: at once, or with each ``Options.group`` batches and at a flush or close."""
 
     EACH = "each"
     GROUP = "group"

@@ -3,7 +3,7 @@ import shutil
 
 import pytest
 
-from lamina.schema import MUTATION, Options
+from lamina.schema import MUTATION, Commit, Options
 from lamina.sources.manifest import Conflict
 from lamina.store import Store
 
@@ -140,3 +140,15 @@ def test_streams(spark, tmp_path):
     from lamina.operators.resolve import newest
 
     assert sorted((r.key, r.value, r.tombstone) for r in newest(spark.table("held")).collect()) == [("a", "1", False), ("b", "", True), ("c", "3", False)]
+
+
+def test_group_commit(spark, tmp_path):
+    options = Options(commit=Commit.GROUP, group=4)
+    s = Store(spark, str(tmp_path), options)
+    for i in range(6):
+        s.put("k", f"v{i}")
+    s.delete("gone")
+    assert s.get("k") == "v5" and len(s.frames) == 1  # the first four are one batch
+    assert Store(spark, str(tmp_path), options).get("k") == "v3"  # what a crash would leave
+    s.close()
+    assert Store(spark, str(tmp_path), options).get("k") == "v5" and len(s.frames) == 2
