@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_sharding": sharding.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_line_dedup": lines.ORACLE_SQL,
     "op6_language_model": language_model.ORACLE_SQL,

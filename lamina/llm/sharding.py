@@ -61,22 +61,22 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id") -> DataFrame:
     return docs.withColumns({"shard": (at := jump_hash(seed, shards))["shard"], "grown_shard": at["grown"]})
 
 
-def slots(rows: DataFrame, order: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
+def slots(rows: DataFrame, order: list[str], part: Column | None = None) -> DataFrame:
     """Add ``slot``, which numbers the rows of each ``shard`` from 0 without gaps.
 
-    A shard is numbered in ``buckets`` parts by a hash of the ``order`` columns, so that neither a large shard
-    nor a hot key is sorted by one task; the parts' offsets come from a table of shards x buckets counts. Rows
-    that are equal in all of ``order`` take their slots in any order, which no reader can tell apart.
+    A shard is numbered in ``SLOT_BUCKETS`` parts by a hash of the ``order`` columns (or by ``part``, of at most as
+    many values), so that neither a large shard nor a hot key is sorted by one task; the parts' offsets come from
+    a table of shards x parts counts. Rows that are equal in all of ``order`` take their slots in any order, which
+    no reader can tell apart.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    rows = rows.withColumn("__part", part)
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)) if part is None else part)
     counts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("shard", "__part").orderBy(*order)
     return (
         rows.withColumn("__rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "__part"])  # at most shards x buckets rows
+        .join(F.broadcast(offsets), ["shard", "__part"])  # at most shards x SLOT_BUCKETS rows
         .withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long"))
         .drop("__part", "__rank", "__before")
     )
@@ -91,5 +91,26 @@ def op1_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:
     slim = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    rows = slots(cut(assign(slim, shards)), ["doc_id", "size", "text_crc32"])
+    # a multiplicative hash, which other SQL engines can repeat
+    low = F.coalesce(F.col("doc_id"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)) * 1640531527
+    part = F.shiftright((low + F.col("size") * 40503 + F.col("text_crc32")).bitwiseAND(F.lit(0xFFFFFFFF)), 33 - SLOT_BUCKETS.bit_length())
+    rows = slots(cut(assign(slim, shards)), ["doc_id", "size", "text_crc32"], part)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: CRC-32 by its table of 256 remainders, and jump hashing by recursion on the unsigned state.
+ORACLE_SQL = """
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1) AS bytes FROM documents),
+k AS (SELECT r, doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tbl),
+j(r, key, b, j) AS (
+  SELECT r, CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END, -1::BIGINT, 0::BIGINT FROM k
+  UNION ALL
+  SELECT r, key, j, CAST(floor((j + 1) * (2147483648::DOUBLE / ((key // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT r, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key FROM j WHERE j < 40)),
+s AS (SELECT r, CAST(b AS INTEGER) AS shard, CAST(CASE WHEN j = 40 THEN 40 ELSE b END AS INTEGER) AS grown_shard FROM j WHERE j >= 40)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY (((coalesce(doc_id, 0) & 4294967295) * 1640531527 + size * 40503 + text_crc32) & 4294967295) >> 26, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM k JOIN s ON k.r = s.r
+"""

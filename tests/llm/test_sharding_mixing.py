@@ -39,6 +39,10 @@ def test_sharding_query(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_equals_sql(same):
+    assert same(queries.QUERIES["op1_sharding"], queries.ORACLE_SQL["op1_sharding"]) == 1000
+
+
 def test_sharding_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), (7, None), (7, "a"), (7, "a")], "doc_id long, shard string")
     out = sharding.slots(sharding.assign(df, 3), ["doc_id", "shard"]).collect()
