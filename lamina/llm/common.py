@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _remove(path: str) -> None:
+    with contextlib.suppress(Exception):  # the process ends; what can't be reached any more stays
+        files, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        files.delete_dir(name)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, for what a query needs only while its application runs; removed at exit."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
