@@ -24,7 +24,7 @@ SHINGLE = 8
 #: A sketch keeps hashes below 1 / FRACTION of the hash space.
 FRACTION = 4
 #: Rows between sampled ids that cut the order of documents into stretches, and the most ids a driver holds.
-STRETCH, MOST_BOUNDS = 128, 50_000
+STRETCH, MOST_BOUNDS = 32, 50_000
 U, MASK = np.uint64, (1 << 64) - 1
 
 
