@@ -8,6 +8,7 @@ the candidates estimated for it, so crowded parts are left to a fingerprint's ot
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb, log, log2
 
@@ -29,6 +30,8 @@ CHUNK = 1 << 15
 NEAR, NEAR_ALL = 14, 46
 #: Shortest over longest of two near-duplicates, in shingles.
 RATIO = 0.8
+#: Bands of size within that ratio; finer ones compare and copy less.
+BANDS = 2
 #: Fingerprints of one side of a block.
 BLOCK = 100_000
 
@@ -313,12 +316,12 @@ def similar_links(fps: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, ra
     """Links ``a``, ``b`` that join the distinct prints (``fp`` of 32 bytes, ``n`` shingles) within the two limits.
 
     For wide limits, where probes as rows would be too many. Near-duplicates have numbers of shingles within
-    ``ratio`` of each other, so prints are dealt into bands of size, and a band meets itself and the next. A band's
-    prints are cut into blocks of ``block``; a task holds two blocks, finds their pairs by the pigeonhole of
+    ``ratio`` of each other, so prints are dealt into bands of size, and a band meets itself and the next ``BANDS``.
+    A band's prints are cut into blocks of ``block``; a task holds two blocks, finds their pairs by the pigeonhole of
     :func:`block_links`, and returns a spanning forest of them, never more rows than prints. All prints are
     compared with all of their band: work grows with the square of a band, see the README.
     """
-    rows = fps.select("fp", F.when(F.col("n") < 1, -1).otherwise(F.floor(F.log("n") / F.lit(-log(ratio)) + 1e-9)).cast("int").alias("band"))
+    rows = fps.select("fp", F.when(F.col("n") < 1, -BANDS - 1).otherwise(F.floor(F.log("n") * F.lit(BANDS / -log(ratio)) + 1e-9)).cast("int").alias("band"))
     sizes = dict(rows.groupBy("band").agg(F.count("*")).collect())  # a few dozen: bands are a logarithm of the size
     first = fps.select(F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("fp"))
     parts = parts_of(together(first), 4)
@@ -333,11 +336,11 @@ def similar_links(fps: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, ra
         """Rows for pairs of a band (the index) and the band ``offset`` above it (the queries)."""
         if index:
             meets = rows.where(F.coalesce(cuts[F.col("band") + offset], F.lit(0)) > 0).withColumn("other", F.explode(numbers(F.col("band") + offset)))
-            return meets.select((F.col("band") * 2 + offset).alias("pair"), own.alias("i"), F.col("other").alias("q"), F.lit(True).alias("index"), "fp")
+            return meets.select((F.col("band") * (BANDS + 1) + offset).alias("pair"), own.alias("i"), F.col("other").alias("q"), F.lit(True).alias("index"), "fp")
         meets = rows.where(F.coalesce(cuts[F.col("band") - offset], F.lit(0)) > 0).withColumn("other", F.explode(numbers(F.col("band") - offset)))
-        return meets.select(((F.col("band") - offset) * 2 + offset).alias("pair"), F.col("other").alias("i"), own.alias("q"), F.lit(False).alias("index"), "fp")
+        return meets.select(((F.col("band") - offset) * (BANDS + 1) + offset).alias("pair"), F.col("other").alias("i"), own.alias("q"), F.lit(False).alias("index"), "fp")
 
-    dealt = sent(0, True).unionAll(sent(0, False)).unionAll(sent(1, True)).unionAll(sent(1, False))
+    dealt = reduce(DataFrame.unionAll, [sent(offset, index) for offset in range(BANDS + 1) for index in (True, False)])
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = pdf["fp"].to_numpy()
