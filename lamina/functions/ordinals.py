@@ -21,12 +21,12 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stretched(df: DataFrame, *order: str) -> DataFrame:
+def stretched(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` range-partitioned by ``order``, with the partition as the column ``__stretch``, frozen by writing it.
 
     Range bounds are sampled, and another run may draw others; once written, all that follows sees the same ones.
     """
-    return materialised(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__stretch", F.spark_partition_id()))
+    return materialised(df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).withColumn("__stretch", F.spark_partition_id()))
 
 
 def with_ordinals(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:

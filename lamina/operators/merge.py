@@ -17,8 +17,24 @@ def union_all(runs: list[DataFrame]) -> DataFrame:
 
 
 def merged_order(mutations: DataFrame) -> DataFrame:
-    """All versions, each with its place among its key's, newest first."""
-    return mutations.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))))
+    """All versions, each with its place among its key's, newest first.
+
+    Versions are range-partitioned by all of the order, so a key with very many of them is spread over tasks. A
+    stretch ranks its own rows; only its first key can have begun in earlier stretches, and a table with a row
+    for each stretch has how many versions of it are there. Versions that are equal in ``ts`` and ``seq`` take
+    their places in any order.
+    """
+    order = ["key", F.desc("ts"), F.desc("seq")]
+    rows = stretched(mutations, *order)
+    ends = rows.groupBy("__stretch").agg(F.min("key").alias("__first"), F.max("key").alias("__last"))
+    tails = rows.join(F.broadcast(ends), "__stretch").where(F.col("key").eqNullSafe(F.col("__last"))).groupBy("__stretch", "__last").agg(F.count("*").alias("__n"))
+    earlier, own = tails.select(F.col("__stretch").alias("__before"), "__last", "__n"), ends.select("__stretch", "__first")
+    ahead = own.join(earlier, F.col("__first").eqNullSafe(F.col("__last")) & (F.col("__before") < F.col("__stretch"))).groupBy("__stretch", "__first").agg(F.sum("__n").alias("__ahead"))
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__stretch", "key").orderBy(*order[1:])))
+    carried = ahead.select("__stretch", F.col("__first").alias("__key"), "__ahead")
+    return ranked.join(
+        F.broadcast(carried), (ranked["__stretch"] == carried["__stretch"]) & ranked["key"].eqNullSafe(carried["__key"]), "left"
+    ).select(*mutations.columns, (F.col("__rank") + F.coalesce("__ahead", F.lit(0))).cast("long").alias("place"))
 
 
 def merge(runs: list[DataFrame] | DataFrame, bottom: bool = False) -> DataFrame:

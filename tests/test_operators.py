@@ -108,3 +108,19 @@ def test_statistics(spark):
 def test_options():
     with pytest.raises(ValueError):
         Options(num_levels=1)
+
+
+def test_merged_order_of_a_hot_key(spark):
+    """A key with most versions lies in several stretches; places run on from one to the next."""
+    rows = [("hot" if i % 4 else f"k{i % 12}", str(i), i // 2, i, False) for i in range(4000)] + [(None, "", 1, i, True) for i in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many stretches as partitions
+    try:
+        got = merge.merged_order(spark.createDataFrame(rows, MUTATION).repartition(7)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, places = {}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3]), reverse=True):
+        places[r[0]] = places.get(r[0], 0) + 1
+        want.setdefault((r[0], places[r[0]]), (r[2], r[3]))
+    assert {(r.key, r.place): (r.ts, r.seq) for r in got} == want and len(got) == len(rows)
+    assert merge.merged_order(spark.createDataFrame([], MUTATION)).count() == 0

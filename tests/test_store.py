@@ -152,3 +152,36 @@ def test_group_commit(spark, tmp_path):
     assert Store(spark, str(tmp_path), options).get("k") == "v3"  # what a crash would leave
     s.close()
     assert Store(spark, str(tmp_path), options).get("k") == "v5" and len(s.frames) == 2
+
+
+def test_a_lost_manifest_is_rebuilt_from_the_runs(spark, tmp_path):
+    options = Options(num_levels=2, level0_runs=2, run_bytes=100)
+    s = Store(spark, str(tmp_path), options)
+    for i in range(4):
+        s.put_batch([(f"k{j}", f"{i}-{j}") for j in range(5)])
+        s.delete(f"k{i}")
+        s.flush()
+    s.put_batch([("k0", "in the log")])
+    want, versions = state(s), sorted(map(tuple, s.catalog().select("rows").collect()))
+    assert versions and not s.has_overlapping_levels()
+    (tmp_path / "runs" / "l0-torn").mkdir()  # a run that was not whole
+    shutil.rmtree(tmp_path / "manifest")
+    s = Store(spark, str(tmp_path), options)
+    assert state(s) == want
+    s.put_batch([("k1", "later")])
+    s.flush()
+    s.maintain()
+    assert state(s) == {**want, "k1": "later"} == state(Store(spark, str(tmp_path), options))
+    shutil.rmtree(tmp_path / "manifest")
+    with pytest.raises(ValueError):
+        (tmp_path / "runs" / "l5-x").mkdir()
+        (tmp_path / "runs" / "l5-x" / "_SUCCESS").touch()
+        Store(spark, str(tmp_path), options)
+
+
+def test_entries_of_a_run_come_in_order(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    s.put_batch([("b", "1"), ("a", "2"), ("c", "3")])
+    s.delete("c")
+    s.flush()
+    assert [(r.key, r.tombstone) for r in s.entries(s.snapshot.runs[0])] == [("a", False), ("b", False), ("c", True)]
