@@ -26,10 +26,10 @@ def entry_bytes(key: str = "key", value: str = "value", tombstone: Column | None
     return (F.octet_length(key) + stored + ENTRY_OVERHEAD).cast("long")
 
 
-def entry_crc(*columns: str) -> Column:
+def entry_crc(*columns: Column | str) -> Column:
     """CRC-32 of the columns' texts, each behind its length, so that neighbours can't run into each other."""
-    parts = [F.concat(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
-    return F.crc32(F.concat(*parts).cast("binary"))
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.crc32(F.concat(*[x for t in texts for x in (F.coalesce(F.octet_length(t).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(t, F.lit("")))]).cast("binary"))
 
 
 def fnv32(key: Column | str, prefix: str = "") -> Column:

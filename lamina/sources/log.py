@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.expressions import entry_bytes, entry_crc
@@ -12,13 +12,17 @@ from lamina.schema import MUTATION
 from lamina.sources.files import Files
 
 
-def frame_of(batch: DataFrame) -> dict:
+def _sums() -> list[Column]:
     """Rows, accounted bytes, checksum (the sum of the entries', as rows have no order in a table) and the greatest seq."""
-    n, size, crc, seq = batch.agg(
-        F.count("*"), F.coalesce(F.sum(entry_bytes(tombstone=F.col("tombstone"))), F.lit(0)),
-        F.coalesce(F.sum(entry_crc("key", "value", "ts", "seq", "tombstone")), F.lit(0)), F.coalesce(F.max("seq"), F.lit(-1)),
-    ).first()
-    return {"n": n, "bytes": size, "crc": crc, "seq": seq}
+    numbers = F.concat_ws(",", *[F.col(c).cast("string") for c in ("ts", "seq", "tombstone")])
+    return [
+        F.count("*").alias("n"), F.coalesce(F.sum(entry_bytes(tombstone=F.col("tombstone"))), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(entry_crc("key", "value", numbers)), F.lit(0)).alias("crc"), F.coalesce(F.max("seq"), F.lit(-1)).alias("seq"),
+    ]
+
+
+def frame_of(batch: DataFrame) -> dict:
+    return batch.agg(*_sums()).first().asDict()
 
 
 def valid_prefix(frames: DataFrame) -> DataFrame:
@@ -35,8 +39,9 @@ class Log:
 
     def append(self, batch_id: int, mutations: DataFrame) -> dict:
         path = f"{self.folder}/b{batch_id:012d}"
-        mutations.select(*MUTATION.names).write.mode("overwrite").parquet(path)
-        frame = frame_of(self.spark.read.schema(MUTATION).parquet(path))
+        seen = Observation()  # summed while it is written, so a frame says what was meant to be there
+        mutations.select(*MUTATION.names).observe(seen, *_sums()).write.mode("overwrite").parquet(path)
+        frame = seen.get
         self.files.write(f"{path}.draft", json.dumps(frame))
         if not self.files.move_new(f"{path}.draft", f"{path}.json"):
             raise FileExistsError(f"batch {batch_id} is in the log already")
