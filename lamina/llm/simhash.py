@@ -8,7 +8,6 @@ the candidates estimated for it, so crowded parts are left to a fingerprint's ot
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 from math import ceil, comb, log, log2
 
@@ -16,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, table
@@ -327,20 +326,17 @@ def similar_links(fps: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, ra
     parts = parts_of(together(first), 4)
     cuts = F.create_map(*[F.lit(x) for band, n in sizes.items() for x in (band, ceil(n / block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
 
-    def numbers(band):
-        return F.sequence(F.lit(0), F.coalesce(cuts[band], F.lit(0)) - 1)
-
     own = F.pmod(F.xxhash64("fp"), cuts[F.col("band")].cast("long")).cast("int")
 
-    def sent(offset: int, index: bool) -> DataFrame:
-        """Rows for pairs of a band (the index) and the band ``offset`` above it (the queries)."""
-        if index:
-            meets = rows.where(F.coalesce(cuts[F.col("band") + offset], F.lit(0)) > 0).withColumn("other", F.explode(numbers(F.col("band") + offset)))
-            return meets.select((F.col("band") * (BANDS + 1) + offset).alias("pair"), own.alias("i"), F.col("other").alias("q"), F.lit(True).alias("index"), "fp")
-        meets = rows.where(F.coalesce(cuts[F.col("band") - offset], F.lit(0)) > 0).withColumn("other", F.explode(numbers(F.col("band") - offset)))
-        return meets.select(((F.col("band") - offset) * (BANDS + 1) + offset).alias("pair"), F.col("other").alias("i"), own.alias("q"), F.lit(False).alias("index"), "fp")
+    def sent(offset: int, index: bool) -> Column:
+        """A print's places in pairs of a band (the index) and the band ``offset`` above it (the queries)."""
+        low, other = F.col("band") - (0 if index else offset), cuts[F.col("band") + (offset if index else -offset)]
+        place = lambda x: F.struct((low * (BANDS + 1) + offset).alias("pair"), (own if index else x).alias("i"), (x if index else own).alias("q"), F.lit(index).alias("index"))
+        return F.transform(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1), lambda x: F.when(other.isNotNull(), place(x)))
 
-    dealt = reduce(DataFrame.unionAll, [sent(offset, index) for offset in range(BANDS + 1) for index in (True, False)])
+    # one pass makes all of a print's places
+    places = F.concat(*[sent(offset, index) for offset in range(BANDS + 1) for index in (True, False)])
+    dealt = rows.select("fp", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("at")).select("at.*", "fp")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = pdf["fp"].to_numpy()
