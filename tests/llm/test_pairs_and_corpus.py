@@ -108,6 +108,30 @@ def test_near_copies_are_grouped_in_blocks(spark, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in split.collect()} == base
 
 
+def jaccard(a, b, size=5):
+    a, b = (set(simhash.shingle_hashes(t, size).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_documents_equal_exact_jaccard(spark, texts):
+    """Groups are the components of pairs at 0.8 or more; pairs planted around 0.6 to 0.9 stay apart where they are below."""
+    rng = random.Random(11)
+    some = [t for t in texts.values() if 5 < len(t.split()) < 600][:120]
+    rows = []
+    for t in some:
+        words = t.split()
+        rows.append(" ".join(words))
+        for rate in (0.005, 0.02, 0.035, 0.06):
+            rows.append(" ".join(w if rng.random() > rate else f"other{rng.random()}" for w in words))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(rows[a], rows[b]) >= 0.8]
+    want = joined(range(len(rows)), pairs)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+    sets = simhash.shingle_sets(df, "doc_id", "text", 5)  # blocks of few shingles, so that components are dealt over several tasks
+    split = simhash.label(sets.select("doc_id", "fp"), simhash.verified_links(sets, 5, tokens=500), "doc_id")
+    assert {r.doc_id: r.component_id for r in split.collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, texts):
     data = [(5, None, 1), (3, "", 1), (None, " \t", 1), (9, "One two", 1), (8, "one  TWO", 1), (8, "one  TWO", 1), (7, "word " * 30_000, 1)]
     df = spark.createDataFrame(data, "doc_id long, text string, fp int")
