@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lamina.llm import graph, language_model, lines, queries, simhash, warc
+from lamina.llm import graph, language_model, lines, minhash, queries, simhash, warc
 from lamina.llm.common import fresh_dir, saved, ship
 
 SF = "/root/testdata/sf0.01"
@@ -132,6 +132,33 @@ def test_similar_documents_equal_exact_jaccard(spark, texts):
     assert {r.doc_id: r.component_id for r in split.collect()} == want
 
 
+def test_pairs_just_over_the_similarity_are_found(spark, texts):
+    """Long pairs at 0.80 to 0.85, and short ones at exactly 0.8 (four of five shingles)."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    pairs = []
+    for i in range(100):
+        words = [word() for _ in range(304)]
+        pairs.append((words, words[: 304 - (k := 24 + i % 10)] + [word() for _ in range(k)]))
+    for _ in range(300):
+        words = [word() for _ in range(8)]
+        pairs.append((words, [*words, word()]))
+    assert all(0.8 <= jaccard(" ".join(a), " ".join(b)) <= 0.855 for a, b in pairs)
+    df = spark.createDataFrame([(2 * i + j, " ".join(p[j])) for i, p in enumerate(pairs) for j in range(2)], "doc_id long, text string")
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in simhash.similar_documents(df).collect())
+
+
+def test_bands_agree_as_often_as_they_should():
+    rng = np.random.default_rng(13)
+    for shared, apart in ((4, 1), (80, 20), (30, 70)):
+        rate, trials, same = shared / (shared + apart), 1000, []
+        for _ in range(trials):
+            h = rng.integers(0, 2**64, shared + apart, dtype=np.uint64)
+            same.append((minhash.band_keys(h[: shared + apart // 2]) == minhash.band_keys(np.r_[h[:shared], h[shared + apart // 2 :]])).sum())
+        assert np.mean(same) / minhash.BANDS == pytest.approx(rate**minhash.ROWS, rel=0.1, abs=0.0015)
+        assert rate < 0.8 or min(same) > 0
+
+
 def test_near_duplicates_of_odd_rows(spark, texts):
     data = [(5, None, 1), (3, "", 1), (None, " \t", 1), (9, "One two", 1), (8, "one  TWO", 1), (8, "one  TWO", 1), (7, "word " * 30_000, 1)]
     df = spark.createDataFrame(data, "doc_id long, text string, fp int")
