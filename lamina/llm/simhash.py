@@ -317,7 +317,8 @@ def block_links(index: np.ndarray, query: np.ndarray, parts: list[list[int]], ne
 def similar_links(fps: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
     """Links ``a``, ``b`` that join the distinct prints (``fp`` of 32 bytes, ``n`` shingles) within the two limits.
 
-    For wide limits, where probes as rows would be too many. Near-duplicates have numbers of shingles within
+    For wide limits, where probes as rows would be too many. Where similarity is of sets, ``n`` is to be the number of
+    different shingles; a print whose texts have several has a row for each. Near-duplicates have numbers of shingles within
     ``ratio`` of each other, so prints are dealt into bands of size, and a band meets itself and the next ``BANDS``.
     A band's prints are cut into blocks of ``block``; a task holds two blocks, finds their pairs by the pigeonhole of
     :func:`block_links`, and returns a spanning forest of them, never more rows than prints. All prints are

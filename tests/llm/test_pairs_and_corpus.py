@@ -159,6 +159,17 @@ def test_bands_agree_as_often_as_they_should():
         assert rate < 0.8 or min(same) > 0
 
 
+def test_repeated_shingles_count_once(spark, texts):
+    """A text and the same text twice over, and one with a line repeated many times, are near copies as sets."""
+    rng = random.Random(14)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(300)]
+    rows = [words, words * 2, words + words[-10:] * 90, [f"w{rng.getrandbits(40)}" for _ in range(300)]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    fps = spark.createDataFrame([(b"\0" * 32, 10), (b"\0" * 32, 1000), (b"\0" * 31 + b"\1", 11), (b"\0" * 31 + b"\2", 1010)], "fp binary, n long")
+    assert {bytes(x)[-1] for r in simhash.similar_links(fps).collect() for x in r} == {0, 1, 2}  # a print with two sizes has both's neighbours
+
+
 def test_near_duplicates_of_odd_rows(spark, texts):
     data = [(5, None, 1), (3, "", 1), (None, " \t", 1), (9, "One two", 1), (8, "one  TWO", 1), (8, "one  TWO", 1), (7, "word " * 30_000, 1)]
     df = spark.createDataFrame(data, "doc_id long, text string, fp int")
