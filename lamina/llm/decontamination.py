@@ -22,6 +22,8 @@ Q = 8
 RATE = 0.08
 #: Longer items are looked for in windows of this many characters, half overlapping.
 WINDOW = 512
+#: A verbatim part of an item of so many characters is a passage, wherever it starts; any lies whole in some window.
+PART = 160
 #: Characters of items in one index; a larger benchmark is looked for in several passes.
 INDEX_CHARS = 2_000_000
 #: Half the width of a band of diagonals; at least the largest edit budget.
@@ -128,7 +130,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int,
 
 
 def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
-    """(item number, start, end, edits) of the best passage for each item that the whole text has a passage of."""
+    """(item number, start, end, edits) of the best passage for each item that the whole text has a passage of.
+
+    Where an item isn't there whole (or no whole window of a long one), its longest verbatim part counts.
+    """
     points, places = normal(text)
     h = grams(points)
     if not len(h) or not len(index.hashes):
@@ -141,11 +146,13 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     if not len(at):
         return []
     entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - index.starts[found], many)
-    probe, diagonal = index.probe[entry], np.repeat(at, many) - index.place[entry]
+    probe, where = index.probe[entry], np.repeat(at, many)
+    diagonal = where - index.place[entry]
     band = (diagonal + WINDOW) // STEP  # never below 0
     bands = int(band.max()) + 2
     keys = np.concatenate([probe * bands + band, probe * bands + band - 1])  # band b has the diagonals of steps b and b + 1
     key, count = np.unique(keys[keys >= 0], return_counts=True)
+    dense = key[count > PART - Q]
     key = key[count >= index.least[key // bands]]
     if len(key):  # a gram of the item counts once in a band, however often a repetitive text has it
         some = np.isin(keys, key)
@@ -169,6 +176,17 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
         own = int(index.owner[p])
         if start < end and (edits, start) < best.get(own, (1 << 30,))[:2]:
             best[own] = (edits, start, end)
+    if len(dense):  # runs of grams on a diagonal, of items that aren't there whole
+        some = np.flatnonzero(np.isin(keys[: len(entry)], dense) | np.isin(keys[len(entry) :], dense))
+        some = some[np.lexsort((where[some], diagonal[some], probe[some]))]
+        first = np.flatnonzero(np.r_[True, (np.diff(probe[some]) != 0) | (np.diff(diagonal[some]) != 0) | (np.diff(where[some]) != 1)])
+        length = np.diff(np.r_[first, len(some)]) + Q - 1
+        parts: dict[int, tuple[int, int]] = {}
+        for i, n in zip(some[first[length >= PART]].tolist(), length[length >= PART].tolist()):
+            own, start, place = int(index.owner[probe[i]]), int(where[i]), int(where[i] - diagonal[i])
+            if own not in best and (points[start : start + n] == index.probes[probe[i]][place : place + n]).all():
+                parts[own] = min(parts.get(own, (0, 0)), (-n, start))
+        best |= {own: (0, start, start - n) for own, (n, start) in parts.items()}
     return [(own, int(places[s]), int(places[e - 1]) + 1, k) for own, (k, s, e) in sorted(best.items())]
 
 
@@ -184,6 +202,10 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """A row of ``id_col``, ``item_col``, ``start``, ``end`` and ``edits`` for each document and item that it has a passage of.
 
+    A passage is a whole item within 8 % edits, a whole window (512 characters, at strides of 256) of a longer one
+    within as many, or a verbatim part of an item of ``PART`` (160) characters or more, from any place in it. A
+    shorter part, or one with edits that has no such verbatim run, isn't found.
+
     The place, in code points of the text, is of the passage with the fewest edits, then of the first. One pass
     over the documents for each index, without a shuffle; only the index is sent to the tasks, and its size is
     bounded. Null and empty texts have no passages; of equal items the least id stands for all; repeated rows each

@@ -149,6 +149,21 @@ def test_decontamination_of_odd_rows(spark, docs, monkeypatch):
     assert decontamination.contaminated(df.limit(0), bench).count() == 0 and decontamination.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_verbatim_parts_of_items_are_found():
+    """Three quarters of an item of 300 characters, and 160 characters of a long one from any place; 159 are no passage."""
+    rng = random.Random(15)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    middle, long = letters(300), letters(1500)
+    index = decontamination.build([("middle", middle), ("long", long)])
+    for item, key, size in ((middle, "middle", 225), (long, "long", 160), (long, "long", 400)):
+        for at in range(0, len(item) - size + 1, 7):
+            host = f"{letters(90)} - {item[at : at + size]} - {letters(90)}"
+            assert [(index.items[i], e) for i, _, _, e in decontamination.matches(index, host)] == [(key, 0)]
+    (_, start, end, _), = decontamination.matches(index, host)
+    assert item[at : at + size] in host[start:end] or host[start:end] in item and end - start >= 160
+    assert decontamination.matches(index, f"{letters(90)} - {long[700:859]} - {letters(90)}") == []
+
+
 def test_repetitive_texts_are_no_passages():
     index = decontamination.build([(1, "are there any words that are in it, are there")])
     assert decontamination.matches(index, "are there, " * 500) == []
