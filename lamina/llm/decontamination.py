@@ -49,6 +49,10 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.uint32), places
 
 
+def plain(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def grams(points: np.ndarray) -> np.ndarray:
     h, base, width = points.astype(U) + U(1), 0x9E3779B97F4A7C15, 1
     if len(h) < Q:
@@ -71,16 +75,20 @@ class Index:
     probe: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    short: list[tuple[int, str]]
 
 
 def build(items: list[tuple]) -> Index:
-    """An index of (id, text) items. Items of fewer than ``Q`` characters are in every text and are left out."""
-    ids, probes, owner = [], [], []
+    """An index of (id, text) items. Items of fewer than ``Q`` characters have no grams and are searched for as they are; empty ones are left out."""
+    ids, probes, owner, short = [], [], [], []
     for key, text in items:
         points, _ = normal(text or "")
-        if len(points) < Q:
+        if not len(points):
             continue
         ids.append(key)
+        if len(points) < Q:
+            short.append((len(ids) - 1, plain(points)))
+            continue
         last = max(len(points) - WINDOW, 0)
         for at in sorted({*range(0, last, WINDOW // 2), last}):
             probes.append(points[at : at + WINDOW])
@@ -96,7 +104,7 @@ def build(items: list[tuple]) -> Index:
     mask[distinct >> U(64 - BITS)] = True
     return Index(
         ids, probes, np.array(owner, np.int64), budget, size - Q + 1 - budget * Q, distinct, np.r_[starts, len(hashes)],
-        np.repeat(np.arange(len(probes)), [len(g) for g in all_grams])[order], np.concatenate([np.arange(len(g)) for g in all_grams])[order] if probes else np.zeros(0, np.int64), mask,
+        np.repeat(np.arange(len(probes)), [len(g) for g in all_grams])[order], np.concatenate([np.arange(len(g)) for g in all_grams])[order] if probes else np.zeros(0, np.int64), mask, short,
     )
 
 
@@ -135,16 +143,25 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
     Where an item isn't there whole (or no whole window of a long one), its longest verbatim part counts.
     """
     points, places = normal(text)
+    best = passages(index, points)
+    if index.short:
+        whole = plain(points)
+        best |= {own: (0, start, start + len(item)) for own, item in index.short if (start := whole.find(item)) >= 0}
+    return [(own, int(places[s]), int(places[e - 1]) + 1, k) for own, (k, s, e) in sorted(best.items())]
+
+
+def passages(index: Index, points: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """(edits, start, end) in normalised points for each item of ``Q`` or more characters."""
     h = grams(points)
     if not len(h) or not len(index.hashes):
-        return []
+        return {}
     at = np.flatnonzero(index.filter[h >> U(64 - BITS)])
     found = np.minimum(np.searchsorted(index.hashes, h[at]), len(index.hashes) - 1)
     hit = index.hashes[found] == h[at]
     at, found = at[hit], found[hit]
     many = index.starts[found + 1] - index.starts[found]
     if not len(at):
-        return []
+        return {}
     entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - index.starts[found], many)
     probe, where = index.probe[entry], np.repeat(at, many)
     diagonal = where - index.place[entry]
@@ -187,7 +204,7 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
             if own not in best and (points[start : start + n] == index.probes[probe[i]][place : place + n]).all():
                 parts[own] = min(parts.get(own, (0, 0)), (-n, start))
         best |= {own: (0, start, start - n) for own, (n, start) in parts.items()}
-    return [(own, int(places[s]), int(places[e - 1]) + 1, k) for own, (k, s, e) in sorted(best.items())]
+    return best
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
@@ -204,7 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A passage is a whole item within 8 % edits, a whole window (512 characters, at strides of 256) of a longer one
     within as many, or a verbatim part of an item of ``PART`` (160) characters or more, from any place in it. A
-    shorter part, or one with edits that has no such verbatim run, isn't found.
+    shorter part, or one with edits that has no such verbatim run, isn't found. An
+    item of fewer than 8 characters is searched for exactly, also inside words.
 
     The place, in code points of the text, is of the passage with the fewest edits, then of the first. One pass
     over the documents for each index, without a shuffle; only the index is sent to the tasks, and its size is

@@ -164,6 +164,14 @@ def test_verbatim_parts_of_items_are_found():
     assert decontamination.matches(index, f"{letters(90)} - {long[700:859]} - {letters(90)}") == []
 
 
+def test_short_items_are_searched_exactly(spark, docs):
+    bench = spark.createDataFrame([(1, "\u7b54\u6848\u662f\u4e00\u767e\u4e8c\u5341"), (2, "Forty 2"), (3, " "), (4, "of  A")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x\u7b54\u6848\u662f\u4e00\u767e\u4e8c\u5341y"), (2, "it is forty\n2"), (3, "forty two"), (4, "of a"), (5, "")], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontamination.contaminated(df, bench).collect())
+    assert rows == [(1, 1, 1, 8, 0), (2, 2, 6, 13, 0), (4, 4, 0, 4, 0)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(df, bench).collect()) == [3, 5]
+
+
 def test_repetitive_texts_are_no_passages():
     index = decontamination.build([(1, "are there any words that are in it, are there")])
     assert decontamination.matches(index, "are there, " * 500) == []
