@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Masters that run in one process.
+LOCAL = re.compile(r"local(\[.*\])?")
+#: Bits of a filter of keys at most (64 MB), and for each key while there are fewer.
+MOST_BITS, BITS_PER_KEY = 1 << 29, 16
+#: Bits of one value of ``bitmap_construct_agg``.
+BITMAP = 1 << 15
 #: The word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / f"{root.name}.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for path in root.rglob("*.py"):
                 z.write(path, path.relative_to(root.parent))
@@ -41,9 +50,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests), removed at exit."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode, where it is unset, one that is removed at exit.
+
+    On a cluster without that setting there is no folder that all share, which is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join("/tmp/checkpoints", f"lamina-{spark.sparkContext.applicationId}")
         spark.sparkContext.setCheckpointDir(path)
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -52,9 +66,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """What executors reach a path of the shared folder by, and its name there."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def read_range(files: fs.FileSystem, name: str, offset: int, length: int) -> bytes:
+    with files.open_input_file(name) as f:
+        return f.read_at(length, offset)
+
+
 def _remove(path: str) -> None:
     with contextlib.suppress(Exception):  # the process ends; what can't be reached any more stays
-        files, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        files, name = file_system(path)
         files.delete_dir(name)
 
 
@@ -88,3 +112,22 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def split_by(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` cut in two without a shuffle: those whose ``key`` may be in the one column of ``keys``, and those whose key isn't.
+
+    ``key`` and the column are long and well mixed; ``keys`` is a written table. A bitmap of the keys is sent to the tasks, of
+    ``BITS_PER_KEY`` bits a key and 64 MB at most, so with very many keys more rows are in the first part than need to be. A null
+    key is in the second.
+    """
+    bits = BITMAP
+    while bits < min(keys.count() * BITS_PER_KEY, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    maps = keys.select(F.shiftright(place, 15).alias("__bucket"), F.pmod(place, F.lit(BITMAP)).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    held = rows.withColumn("__place", F.pmod(key, F.lit(bits))).withColumn("__bucket", F.shiftright("__place", 15)).join(F.broadcast(maps), "__bucket", "left")
+    octet = F.conv(F.hex(F.expr("substring(__map, cast(shiftright(pmod(__place, 32768L), 3) as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.expr("shiftright({0}, cast(pmod(__place, 8L) as int)) & 1".format("__octet")) == 1, F.lit(False))
+    out = held.withColumn("__octet", octet).withColumn("__there", there)
+    return out.where("__there").select(*rows.columns), out.where("not __there").select(*rows.columns)
