@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import known, saved, table
 
-#: A line is boilerplate if over this part of its host's pages have it, and at least so many.
-RATIO, LEAST_PAGES = 0.1, 3
+#: A line is boilerplate if over this part of its host's pages have it, and more than one. Menus and footers stand on all pages of a
+#: site or of a section of it, and a site has few sections; what fewer than a fifth have is taken for content.
+RATIO, LEAST_PAGES = 0.2, 2
+#: Blanks that end a line's text on either side.
+BLANKS = " \t\r\f\x0b"
 
 
 def host_of(url: Column | str) -> Column:
@@ -17,15 +20,20 @@ def host_of(url: Column | str) -> Column:
 
 
 def lines_of_html(html: Column | str) -> Column:
-    """Text lines of a page: scripts, styles and comments go, a tag ends a line, blank lines go. Null gives none."""
+    """Text lines of a page: scripts, styles and comments go, a tag ends a line, blank lines go. Null gives none.
+
+    A script, style or comment that nothing closes goes to the page's end; a ``<`` begins a new tag, also within one. So each
+    pattern passes a page once, however long it is and whatever it holds.
+    """
     html = F.coalesce(F.col(html) if isinstance(html, str) else html, F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
-    return lines_of_text(F.regexp_replace(bare, r"<[^>]*>", "\n"))
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)", "")
+    return lines_of_text(F.regexp_replace(bare, r"<[^<>]*>", "\n"))
 
 
 def lines_of_text(text: Column | str) -> Column:
+    """The lines of a text, trimmed; blank ones go. Null gives none."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*", -1), lambda x: F.trim(x) != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def boilerplate(rows: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -44,8 +52,9 @@ def boilerplate(rows: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_
 def drop_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Add ``host``, ``n_lines``, ``n_dropped`` and ``kept`` (the lines that stay, in order) to each row.
 
-    Rows without a host are a site of their own, as are those of a null host. Empty pages count as pages and
-    have no lines; repeated rows count as pages each. Lines compare whole, by their MD5. Columns with the names
+    A line goes if over ``ratio`` of its host's pages have it, and ``least_pages`` or more: by default two, as a line on one page alone
+    repeats nothing, whatever part of a small host it is. Rows without a host are a site of their own, as are those of a null
+    host. Empty pages count as pages and have no lines; repeated rows count as pages each; an empty table gives no rows. Lines compare whole, by their MD5. Columns with the names
     of the new ones are replaced.
     """
     named = pages.withColumns({"host": host, "__lines": lines})
@@ -68,8 +77,8 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH b AS (
   SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-    regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') AS text FROM pages),
-l AS (SELECT *, list_filter(string_split_regex(text, '[ \t\r\f\x0B]*\n[ \t\r\f\x0B]*'), lambda x: trim(x) <> '') AS lines FROM b),
+    regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', '', 'g'), '<[^<>]*>', chr(10), 'g') AS text FROM pages),
+l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))), lambda x: x <> '') AS lines FROM b),
 e AS (SELECT DISTINCT r, host, unnest(lines) AS line FROM l),
 n AS (SELECT host, line, count(*) AS n FROM e GROUP BY host, line),
 h AS (SELECT host, count(*) AS pages FROM b GROUP BY host),

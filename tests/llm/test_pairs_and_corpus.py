@@ -1,7 +1,10 @@
 """Near-duplicates, components, language model, lines, archives and the pipeline."""
 
 import itertools
+import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -198,20 +201,44 @@ def test_language_model_equals_sql(same, texts):
     assert same(queries.QUERIES["op6_language_model"], queries.ORACLE_SQL["op6_language_model"]) == 1000
 
 
-def test_language_model_in_many_chunks_and_buckets(spark, texts):
-    df = spark.read.parquet(f"{SF}/documents.parquet")
-    want = {r.doc_id: r.log10_score for r in language_model.scores(df, order=3).collect()}
-    rows = language_model.chunks(df.repartition(6), "doc_id", "text")
-    assert rows.count() > 1
-    got = {r.doc_id: r.log10_score for r in language_model.scores(df.repartition(6), order=3).collect()}
-    assert got == pytest.approx(want)
+def plain_scores(rows, order, alpha=0.4):
+    """Scores by the definition: counts of the other rows, dictionaries only."""
+    words = [(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() for t in rows]
+    own = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in words]
+    every, total, out = sum(own, Counter()), sum(map(len, words)), []
+    for w, mine in zip(words, own):
+        value = 0.0
+        for i in range(len(w)):
+            for n in range(min(order, i + 1), 0, -1):
+                gram, left = tuple(w[i - n + 1 : i + 1]), min(order, i + 1) - n
+                if n == 1:
+                    value += math.log10(every[gram] / total) + left * math.log10(alpha)
+                elif every[gram] > mine[gram]:
+                    value += math.log10((every[gram] - mine[gram]) / (every[gram[:-1]] - mine[gram[:-1]])) + left * math.log10(alpha)
+                    break
+        out.append((len(w), value))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_language_model_equals_counting(spark, texts, monkeypatch, order):
+    """Many chunks and buckets, repeated rows, and null ids beside ids above 2^53."""
+    monkeypatch.setattr(language_model, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(language_model, "BUCKET_WORDS", 500)
+    rng = random.Random(22)
+    rows = [" ".join(rng.choice("aAbBcCdefgh") for _ in range(rng.randrange(40))) for _ in range(120)] + ["New words only", "New words only", "Other words", None, "", " \t"]
+    ids = [None if i % 7 == 0 else (1 << 53) + 2 * i + 1 for i in range(len(rows))]
+    df = spark.createDataFrame([(k, t, 1) for k, t in zip(ids, rows)], "doc_id long, text string, n int").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, round(r.log10_score, 6) + 0.0) for r in language_model.scores(df, order=order).collect())
+    assert got == sorted((str(k), n, round(v, 6) + 0.0) for k, (n, v) in zip(ids, plain_scores(rows, order)))
 
 
 def test_language_model_of_odd_rows(spark, texts):
-    df = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "a A a", 1), (2, "a", 1)], "doc_id long, text string, n int")
-    got = sorted((str(r.doc_id), r.n_words, round(r.log10_score, 6)) for r in language_model.scores(df).collect())
-    assert got == [("1", 0, 0.0), ("2", 0, 0.0), ("2", 1, 0.0), ("None", 3, -0.60206)]
+    df = spark.createDataFrame([(1, None, 1), (2, "", 1)], "doc_id long, text string, n int")
+    assert sorted((r.doc_id, r.n_words, r.log10_score) for r in language_model.scores(df).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
     assert language_model.scores(df.limit(0)).count() == 0
+    named = spark.createDataFrame([("x", "a b"), (None, "a b")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), round(r.log10_score, 6)) for r in language_model.scores(named).collect()) == [("None", -0.30103), ("x", -0.30103)]
 
 
 def test_packed_arrays_come_back():
@@ -233,6 +260,28 @@ def test_lines_of_odd_rows(spark):
     assert out.columns[:3] == ["url", "text", "site"] and lines.drop_boilerplate(df.limit(0), lines.host_of("url"), lines.lines_of_text("text")).count() == 0
 
 
+def test_a_line_on_few_pages_of_a_host_stays(spark):
+    """On three of 20 pages a line stays, on five it goes; on a host of one page nothing goes, of two what both have."""
+    rows = [("http://large/", f"menu\nown {i}" + "\nthree" * (i < 3) + "\nfive" * (i < 5)) for i in range(20)] + [("http://one/", "menu\nown")] + [("http://two/", f"menu\nown {i}") for i in range(2)]
+    out = lines.drop_boilerplate(spark.createDataFrame(rows, "url string, text string"), lines.host_of("url"), lines.lines_of_text("text")).collect()
+    kept = {h: {x for r in out if r.host == h for x in r.kept} for h in ("large", "one", "two")}
+    assert kept == {"large": {f"own {i}" for i in range(20)} | {"three"}, "one": {"menu", "own"}, "two": {"own 0", "own 1"}}
+
+
+@pytest.mark.parametrize("part", [" ", "<", "<script ", "<!--", "<style>", "< a", " \n", "\t\x0b<"])
+def test_long_pages_take_no_longer_than_their_length(spark, part):
+    began = time.time()
+    page = "first<p>" + part * (5_000_000 // len(part))
+    assert spark.createDataFrame([(page,)], "html string").select(lines.lines_of_html("html").alias("x")).first().x[0] == "first"
+    assert time.time() - began < 15
+
+
+def test_lines_of_html(spark):
+    pages = ["a<script>x</script>b<!-- c <p> -->d<br/>e", "a<SCRIPT src=x>if (a<b) {}</SCRIPT >b", "<style>p{}</style>a < b > c", "x<script>y<script>z</script>w", None, ""]
+    got = [r.x for r in spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").orderBy("i").select(lines.lines_of_html("html").alias("x")).collect()]
+    assert got == [["abd", "e"], ["a"], ["a", "c"], ["xw"], [], []]
+
+
 def test_archives_equal_sql(same):
     assert same(queries.QUERIES["op8_warc"], queries.ORACLE_SQL["op8_warc"]) == 250
 
