@@ -5,6 +5,7 @@ import math
 import random
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -292,18 +293,26 @@ def test_archives_come_back_whole(spark, texts, monkeypatch):
     data = [(1, "http://www.A.b/x y\n", big), (3, "http://a.b/?q#f", big), (3, "http://a.b/?q#f", big), (None, None, big), (7, "::bad[", None), (8, "http://[x/", ""), (9, None, "s"), (10, "http://a.b/?q", "s\x00")]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
     path = fresh_dir(spark, "warc-test")
+    Path(path).mkdir(parents=True)
+    (Path(path) / "pages-orphan.warc.gz").touch()
     warc.write(df, path)
-    rows = sorted(((r.page_id, r.type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in warc.read(spark, path).collect()), key=str)
+    assert not (Path(path) / "pages-orphan.warc.gz").exists()
+    back = lambda p: warc.read(spark, warc.find(spark, warc.keys_of(df), p), p)
+    rows = sorted(((r.page_id, r.type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in back(path).collect()), key=str)
     whole = big.encode()
     assert rows == sorted([(1, "revisit", 3, None), (3, "response", None, whole), (3, "response", None, whole), (None, "revisit", 3, None), (7, "response", None, b""), (8, "response", None, b""), (9, "response", None, b"s"), (10, "response", None, b"s\x00")], key=str)
-    digests = {(r.page_id, r.record_type, r.payload_bytes) for r in warc.digests(warc.read(spark, path)).collect()}
+    digests = {(r.page_id, r.record_type, r.payload_bytes) for r in warc.digests(back(path)).collect()}
     assert (1, "revisit", len(whole)) in digests and (3, "response", len(whole)) in digests
-    look = warc.Lookup(spark, path)
+    look = warc.Lookup(path)
     assert sorted(c[1] for c in look.captures("http://a.b/?q")) == [3, 3, 10] and look.captures("http://a.b/none") == []
     assert all(look.read(c)["page_id"] == c[1] for c in look.captures("http://a.b/?q"))
+    every = [look.read(c)["id"] for url in {u for _, u, _ in data} for c in look.captures(url)]
+    assert len(set(every)) == len(data)  # also for repeated and null page_ids
+    some = spark.createDataFrame([("http://a.b/?q",), ("http://none/",), (None,)], "url string")
+    assert sorted(str(r.page_id) for r in warc.find(spark, warc.keys_of(some), path).collect()) == ["10", "3", "3", "None"]
     empty = fresh_dir(spark, "warc-test")
     warc.write(df.limit(0), empty)
-    assert warc.digests(warc.read(spark, empty)).count() == 0
+    assert warc.digests(back(empty)).count() == 0
 
 
 def test_sort_keys():
