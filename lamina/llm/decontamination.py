@@ -7,6 +7,7 @@ each overlapping the next by half, are counted, and only bands that reach the bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import table
+from lamina.llm.common import saved, table
 from lamina.llm.sketches import code_points
 
 Q = 8
@@ -26,6 +27,10 @@ WINDOW = 512
 PART = 160
 #: Characters of items in one index; a larger benchmark is looked for in several passes.
 INDEX_CHARS = 2_000_000
+#: Places of a text that are searched at once, and by how many they overlap: more than any passage and its bands have.
+SEGMENT, OVERLAP = 65_536, 1024
+#: Pairs of a text's gram and an item's place from which on a segment is cut in two, and the least size that is cut.
+PAIRS, LEAST = 4_000_000, 256
 #: Half the width of a band of diagonals; at least the largest edit budget.
 STEP = 64
 U = np.uint64
@@ -76,10 +81,11 @@ class Index:
     place: np.ndarray
     filter: np.ndarray
     short: list[tuple[int, str]]
+    kind: pa.DataType | None
 
 
-def build(items: list[tuple]) -> Index:
-    """An index of (id, text) items. Items of fewer than ``Q`` characters have no grams and are searched for as they are; empty ones are left out."""
+def build(items: list[tuple], kind: pa.DataType | None = None) -> Index:
+    """An index of (id, text) items. Items of fewer than ``Q`` characters have no grams and are searched for as they are; empty ones are left out. ``kind`` is the ids' type."""
     ids, probes, owner, short = [], [], [], []
     for key, text in items:
         points, _ = normal(text or "")
@@ -104,7 +110,7 @@ def build(items: list[tuple]) -> Index:
     mask[distinct >> U(64 - BITS)] = True
     return Index(
         ids, probes, np.array(owner, np.int64), budget, size - Q + 1 - budget * Q, distinct, np.r_[starts, len(hashes)],
-        np.repeat(np.arange(len(probes)), [len(g) for g in all_grams])[order], np.concatenate([np.arange(len(g)) for g in all_grams])[order] if probes else np.zeros(0, np.int64), mask, short,
+        np.repeat(np.arange(len(probes)), [len(g) for g in all_grams])[order], np.concatenate([np.arange(len(g)) for g in all_grams])[order] if probes else np.zeros(0, np.int64), mask, short, kind,
     )
 
 
@@ -151,19 +157,56 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
 
 
 def passages(index: Index, points: np.ndarray) -> dict[int, tuple[int, int, int]]:
-    """(edits, start, end) in normalised points for each item of ``Q`` or more characters."""
-    h = grams(points)
-    if not len(h) or not len(index.hashes):
-        return {}
-    at = np.flatnonzero(index.filter[h >> U(64 - BITS)])
-    found = np.minimum(np.searchsorted(index.hashes, h[at]), len(index.hashes) - 1)
-    hit = index.hashes[found] == h[at]
-    at, found = at[hit], found[hit]
-    many = index.starts[found + 1] - index.starts[found]
-    if not len(at):
-        return {}
-    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - index.starts[found], many)
-    probe, where = index.probe[entry], np.repeat(at, many)
+    """(edits, start, end) in normalised points for each item of ``Q`` or more characters.
+
+    The text is searched in overlapping segments, each of which has every passage that begins in it whole, so memory follows
+    neither from the text's length nor from how often a gram is in both text and benchmark: it is some 1,280 times the places
+    that the most frequent gram of the index has in items of which a segment has enough grams, at most.
+    """
+    best: dict[int, tuple[int, int, int]] = {}
+    parts: dict[int, tuple[int, int]] = {}
+    if not len(index.hashes):
+        return best
+    todo = [(at, min(at + SEGMENT, len(points))) for at in range(0, len(points), SEGMENT)][::-1]
+    while todo:
+        low, high = todo.pop()
+        piece = points[low : high + OVERLAP]
+        h = grams(piece)
+        if not len(h):
+            continue
+        at = np.flatnonzero(index.filter[h >> U(64 - BITS)])
+        found = np.minimum(np.searchsorted(index.hashes, h[at]), len(index.hashes) - 1)
+        hit = index.hashes[found] == h[at]
+        at, found = at[hit], found[hit]
+        if not len(at):
+            continue
+        # an item's places whose grams are anywhere in the segment: too few of them rule it out before any pair is made
+        present, which = np.unique(found, return_inverse=True)
+        size = index.starts[present + 1] - index.starts[present]
+        entries = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - index.starts[present], size)
+        alive = np.bincount(index.probe[entries], minlength=len(index.least)) >= np.minimum(index.least, PART - Q + 1)
+        kept = alive[index.probe[entries]]
+        size = np.bincount(np.repeat(np.arange(len(present)), size)[kept], minlength=len(present))
+        entries, starts, many = entries[kept], np.cumsum(size) - size, size[which]
+        if not len(entries):
+            continue
+        if many.sum() > PAIRS and high - low > LEAST:
+            middle = (low + high) // 2
+            todo += [(middle, high), (low, middle)]
+            continue
+        entry = entries[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - starts[which], many)]
+        whole, runs = _segment(index, piece, np.repeat(at, many), entry)
+        for own, (edits, start, end) in whole.items():
+            if (now := (edits, start + low, end + low)) < best.get(own, (1 << 30,)):
+                best[own] = now
+        for own, (n, start) in runs.items():
+            parts[own] = min(parts.get(own, (0, 0)), (n, start + low))
+    return {own: (0, start, start - n) for own, (n, start) in parts.items()} | best
+
+
+def _segment(index: Index, points: np.ndarray, where: np.ndarray, entry: np.ndarray) -> tuple[dict, dict]:
+    """Whole passages (edits, start, end) and verbatim runs (minus the length, start) in a segment, by item, from pairs of a place and the index's entry of its gram."""
+    probe = index.probe[entry]
     diagonal = where - index.place[entry]
     band = (diagonal + WINDOW) // STEP  # never below 0
     bands = int(band.max()) + 2
@@ -193,27 +236,31 @@ def passages(index: Index, points: np.ndarray) -> dict[int, tuple[int, int, int]
         own = int(index.owner[p])
         if start < end and (edits, start) < best.get(own, (1 << 30,))[:2]:
             best[own] = (edits, start, end)
-    if len(dense):  # runs of grams on a diagonal, of items that aren't there whole
+    parts: dict[int, tuple[int, int]] = {}
+    if len(dense):  # runs of grams on a diagonal
         some = np.flatnonzero(np.isin(keys[: len(entry)], dense) | np.isin(keys[len(entry) :], dense))
         some = some[np.lexsort((where[some], diagonal[some], probe[some]))]
         first = np.flatnonzero(np.r_[True, (np.diff(probe[some]) != 0) | (np.diff(diagonal[some]) != 0) | (np.diff(where[some]) != 1)])
         length = np.diff(np.r_[first, len(some)]) + Q - 1
-        parts: dict[int, tuple[int, int]] = {}
         for i, n in zip(some[first[length >= PART]].tolist(), length[length >= PART].tolist()):
             own, start, place = int(index.owner[probe[i]]), int(where[i]), int(where[i] - diagonal[i])
-            if own not in best and (points[start : start + n] == index.probes[probe[i]][place : place + n]).all():
+            if (points[start : start + n] == index.probes[probe[i]][place : place + n]).all():
                 parts[own] = min(parts.get(own, (0, 0)), (-n, start))
-        best |= {own: (0, start, start - n) for own, (n, start) in parts.items()}
-    return best
+    return best, parts
+
 
+def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Index, bool]]:
+    """Indexes that cover the whole benchmark, each of about ``INDEX_CHARS`` characters at most, one at a time, and whether each is the only one.
 
-def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes that hold the whole benchmark, each of about ``INDEX_CHARS`` characters at most; equal items share one entry."""
+    Equal items share one entry, that of the least id.
+    """
     items = benchmark.where(F.col(text_col).isNotNull()).groupBy(text_col).agg(F.min(id_col).alias("id"))
     total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
     passes = total // INDEX_CHARS + 1
     part = F.pmod(F.xxhash64(text_col), F.lit(passes))
-    return [build([tuple(r) for r in items.where(part == i).select("id", text_col).collect()]) for i in range(passes)]
+    for i in range(passes):
+        rows = items.where(part == i).select("id", text_col).toArrow()
+        yield build(list(zip(*(c.to_pylist() for c in rows.columns))), rows.schema.field(0).type), passes == 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -226,12 +273,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The place, in code points of the text, is of the passage with the fewest edits, then of the first. One pass
     over the documents for each index, without a shuffle; only the index is sent to the tasks, and its size is
-    bounded. Null and empty texts have no passages; of equal items the least id stands for all; repeated rows each
-    give their matches; texts are searched whole.
+    bounded; with several, one is held at a time and what it finds is written. Null and empty texts have no passages, null
+    items none to find; of equal items the least id stands for all; repeated rows each give their matches; texts are searched
+    whole, in segments; ids are of any type; other columns are not read; an empty table on either side gives no rows.
     """
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     context, out = docs.sparkSession.sparkContext, None
-    for index in indexes(benchmark, item_col):
+    for index, only in indexes(benchmark, item_col):
         sent = context.broadcast(index)
 
         def find(batches, sent=sent):
@@ -241,18 +289,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if rows:
                     doc, item, *rest = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(doc)), pa.array([index.items[i] for i in item]), *[pa.array(r, pa.int64()) for r in rest]], names=["id", "item", "start", "end", "edits"]
+                        [batch.column(0).take(pa.array(doc)), pa.array([index.items[i] for i in item], index.kind), *[pa.array(r, pa.int64()) for r in rest]], names=["id", "item", "start", "end", "edits"]
                     )
 
         some = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string")).mapInArrow(find, f"id {kinds[0]}, item {kinds[1]}, start long, end long, edits long")
+        if not only:
+            some = saved(some, "passages")
+            sent.destroy()
         out = some if out is None else out.unionAll(some)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows whose text has no passage of the benchmark, filtered where they are."""
+    """The rows whose text has no passage of the benchmark, filtered where they are; null and empty texts stay.
+
+    With several indexes, what each leaves is written before the next is made.
+    """
     at, context = docs.columns.index(text_col), docs.sparkSession.sparkContext
-    for index in indexes(benchmark):
+    for index, only in indexes(benchmark):
         sent = context.broadcast(index)
 
         def keep(batches, sent=sent):
@@ -261,6 +315,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array([not matches(index, t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if not only:
+            docs = saved(docs, "clean")
+            sent.destroy()
     return docs
 
 

@@ -169,7 +169,52 @@ def test_passages_within_the_budget_are_found(spark, texts):
         assert found.get(key) == (least if least <= budget else None)
 
 
-def test_decontamination_query_equals_search(spark, texts):
+def edits_of(items, text):
+    """Least edits between each item and any passage of a text, by the whole matrix, a column at a time for all items."""
+    width = max(map(len, items))
+    grid = np.full((len(items), width), -1, np.int64)
+    for i, x in enumerate(items):
+        grid[i, : len(x)] = [ord(c) for c in x]
+    ends, rows, steps = np.array([len(x) for x in items]), np.arange(len(items)), np.arange(width + 1)
+    cost = np.tile(steps, (len(items), 1))
+    best = cost[rows, ends]
+    for c in text:
+        now = np.zeros_like(cost)
+        now[:, 1:] = np.minimum(cost[:, :-1] + (grid != ord(c)), cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(now - steps, 1) + steps
+        best = np.minimum(best, cost[rows, ends])
+    return best
+
+
+def test_decontamination_equals_brute_force(spark, texts):
+    """Both ways: a row for each document and item within the budget or with a verbatim part of 160 characters, and no other."""
+    rng = random.Random(31)
+    plain = lambda t: "".join(map(chr, decontamination.normal(t)[0]))
+    items = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items += [(900, "shorter"), (901, "word for word"), (902, "".join(rng.choice("abcdefghij ") for _ in range(700)).strip())]
+    hosts = [t for t in texts.values() if len(t) < 500][:80]
+    docs = [t for t in texts.values() if any(i[1][:40] in plain(t) for i in items) and len(t) < 3000][:20]
+    for i in range(80):
+        text, host = items[rng.randrange(len(items))][1], hosts[i]
+        part = text[(at := rng.randrange(max(1, len(text) // 3))) : at + rng.randrange(40, len(text) + 200)]
+        changed = list(part)
+        for _ in range(rng.randrange(int(len(part) * 0.1) + 1)):
+            changed[(at := rng.randrange(len(changed))) : at + rng.randrange(2)] = rng.choice(["x", "", "q "])
+        docs.append(f"{host[: len(host) // 2]} {''.join(changed)} {host[len(host) // 2 :]}")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    windows = {k: [t[a : a + 512] for a in sorted({*range(0, max(len(t) - 512, 0), 256), max(len(t) - 512, 0)})] for k, t in items}
+    probes = [(k, w) for k, own in windows.items() for w in own]
+    allowed = np.array([min(int(len(w) * 0.08), max((len(w) - 11) // 8, 0)) for _, w in probes])
+    want = set()
+    for d, text in enumerate(map(plain, docs)):
+        want |= {(d, probes[i][0]) for i in np.flatnonzero(edits_of([w for _, w in probes], text) <= allowed)}
+        want |= {(d, k) for k, t in items if any(t[a : a + 160] in text for a in range(len(t) - 159))}
+    assert got == want and len(want) > 25
+
+
+def test_decontamination_query_finds_whole_items(spark, texts):
     rows = queries.QUERIES["op2_decontamination"](spark, SF).collect()
     plain = {k: "".join(map(chr, decontamination.normal(t)[0])) for k, t in texts.items()}
     items = {r.item_id: "".join(map(chr, decontamination.normal(r.text)[0])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
@@ -180,6 +225,20 @@ def test_decontamination_query_equals_search(spark, texts):
         assert abs(len(passage) - len(items[r.item_id])) <= r.edits and r.edits <= len(items[r.item_id]) * decontamination.RATE
 
 
+def test_passages_in_any_segment(monkeypatch):
+    """Long texts are searched in segments, also where a gram is frequent in both text and benchmark."""
+    rng = random.Random(32)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(i, letters(300)) for i in range(20)] + [(20 + i, "and so on, " * 3 + letters(250)) for i in range(300)]
+    index = decontamination.build(items)
+    text = " ".join(f"{letters(rng.randrange(3000))} {items[i][1]}" for i in range(20)) + " and so on, " * 20_000 + items[100][1]
+    whole = decontamination.matches(index, text)
+    assert {index.items[i] for i, *_ in whole} == {*range(20), 100}
+    monkeypatch.setattr(decontamination, "SEGMENT", 5000)
+    monkeypatch.setattr(decontamination, "PAIRS", 100_000)
+    assert decontamination.matches(index, text) == whole
+
+
 def test_decontamination_of_odd_rows(spark, docs, monkeypatch):
     long = "word number " + " ".join(f"w{i}" for i in range(400))
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "exactly these words here"), (5, "Exactly these words here"), (6, long)], "item_id long, text string")
@@ -239,6 +298,34 @@ def test_quality_of_odd_rows(spark, docs):
     assert quality.drop_rejected(df, labels).columns == df.columns
 
 
+def test_fit_equals_the_plain_solution(spark, docs):
+    """Ridge by least squares on all rows at once, and isotonic levels by their min-max formula."""
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(900, quality.FEATURES)).astype(np.float32).astype(float)
+    y, late = (x[:, 0] + rng.normal(size=900) > 0).astype(float), rng.random(900) < 0.25
+    df = spark.createDataFrame([(list(map(float, a)), float(b), bool(c)) for a, b, c in zip(x, y, late)], "x array<float>, y double, calibrates boolean").repartition(5)
+    model = quality.fit(df)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    phi = np.concatenate([np.cos(z @ model.frequency + model.phase) * np.sqrt(2 / quality.COSINES), z / 10, np.ones((900, 1))], 1)
+    penalty = np.sqrt(quality.PENALTY * 900 + 1e-6) * np.eye(phi.shape[1])
+    weight = np.linalg.lstsq(np.r_[phi[~late], penalty], np.r_[y[~late], np.zeros(len(penalty))], rcond=None)[0]
+    assert np.allclose(model.raw(x), phi @ weight, atol=1e-6)
+    order = np.argsort(model.raw(x[late]), kind="stable")
+    label = y[late][order]
+    n = len(label)
+    mean = lambda a, b: label[a : b + 1].mean()
+    best = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    assert np.allclose(sorted(set(np.round(best, 9))), model.levels) and len(model.knots) == len(model.levels)
+
+
+def test_no_repeated_id_outgrows_the_fit(spark, docs):
+    """An id of a third of all rows is one row of the fit; scores depend on texts alone."""
+    df = spark.createDataFrame([(1, f"text {i} of many") for i in range(200)] + [(i, f"good words {i}.") for i in range(2, 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)] + [(1, 0)] * 50, "doc_id long, quality int")
+    rows = quality.classify(df, labels).collect()
+    assert len(rows) == 598 and quality.drop_rejected(df, labels).count() == sum(r.predicted for r in rows)
+
+
 def test_isotonic():
     knots, levels = quality.isotonic(np.array([3.0, 1, 2, 4, 0]), np.array([1.0, 1, 0, 1, 0]))
     assert (np.diff(levels) > 0).all() and levels[0] == 0 and levels[-1] == 1 and 0.5 in levels and len(knots) == len(levels)
