@@ -111,6 +111,10 @@ class Model:
         level = np.interp(raw, self.knots, self.levels) if len(self.knots) else np.full(len(raw), 0.5)
         return (1 - ORDER) * level + ORDER / (1 + np.exp(-4 * (raw - 0.5)))
 
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        x = [statistics(t or "") for t in texts]
+        return self.score(np.stack(x).astype(np.float32).astype(np.float64)) if x else np.zeros(0)
+
 
 def fit(train: DataFrame, width: float = WIDTH, penalty: float = PENALTY, seed: int = 7) -> Model:
     """Fit on rows of ``x``, ``y`` (0 or 1) and ``calibrates``, of which there are a bounded number.
@@ -157,37 +161,53 @@ def fit(train: DataFrame, width: float = WIDTH, penalty: float = PENALTY, seed:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
-    """``id_col``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Model:
+    """The classifier, fitted on rows of ``docs`` whose crc32(id as text) mod 5 isn't 0, of which about ``most`` at most are drawn by a hash of the id.
 
-    Labels are learnt only from rows whose crc32(id as text) mod 5 isn't 0, of which at most about ``most`` are
-    drawn by a hash of the id; a score depends on the text alone. Every whole text is read once; what is shuffled
-    are some thirty numbers a text. A null text is empty and is scored as such; a null id counts as held out; null
-    labels are skipped; repeated rows each get a row.
+    Null ids and null labels are skipped; of an id with several labels the greatest counts, and of an id with several texts the
+    least text: an id is one row of the fit, so the bound holds whatever is repeated. Without labels every score is near one half.
     """
-    x = cut(features(docs, id_col, text_col))
     fold = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    labelled = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).where(F.col("y").isNotNull() & (fold % 5 != 0))
+    labelled = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("__y")).where(F.col("__y").isNotNull() & (fold % 5 != 0)).groupBy(id_col).agg(F.max("__y").alias("__y"))
     total = labelled.count()
     if total > most:
         labelled = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(most / total * (1 << 20)))
+    # about ``most`` ids at most are sent to the tasks, so the texts stay where they are until one of each id is left
+    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).join(F.broadcast(labelled), id_col).groupBy(id_col, "__y").agg(F.min("__text").alias("__text"))
     # a quarter of the drawn rows, by another digit of the same checksum, calibrates
-    train = cut(x.join(labelled, id_col).select("x", "y", (F.floor(fold / 5) % 4 == 0).alias("calibrates")).repartition(SUMMERS))
-    model = fit(train)
+    named = texts.select(F.struct(id_col, "__y").alias("__id"), "__text")
+    train = features(named, "__id", "__text").select("x", F.col("__id.__y").alias("y"), (F.floor(F.crc32(F.col("__id")[id_col].cast("string").cast("binary")) / 5) % 4 == 0).alias("calibrates"))
+    return fit(cut(train.repartition(SUMMERS)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
+    """``id_col``, ``held_out``, ``score`` and ``predicted`` for each row of ``docs``.
+
+    Labels are learnt as :func:`learned` says; a score depends on the whole text alone, is made where the text is, and nothing
+    is shuffled. A null text is empty and is scored as such; a null id counts as held out; repeated rows each get a row; an
+    empty table gives none; other columns are not read.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_col, text_col, label_col, most))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(matrix(batch.column(1))), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.of(batch.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
-    scored = x.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    scored = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string")).mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    fold = F.crc32(F.col(id_col).cast("string").cast("binary"))
     return scored.select(id_col, F.coalesce(fold % 5 == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier accepts; rows with a null id stay, rows that repeat an id go together."""
-    bad = classify(docs, labels, id_col, text_col).where("predicted = 0").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """The documents that the classifier accepts, filtered where they are; each row goes or stays by its own text, whatever its id."""
+    model, at = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_col, text_col)), docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.value.of(batch.column(at).to_pylist()) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
