@@ -14,8 +14,8 @@ from lamina.llm.common import table
 
 #: Fixed value: the split pattern that such vocabularies are built with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Known pieces that a worker keeps; beyond it the memory is emptied, which costs time and changes no count.
-KNOWN = 400_000
+#: Known pieces that a worker keeps, and their characters; beyond either the memory is emptied, which costs time and changes no count.
+KNOWN, KNOWN_CHARS = 400_000, 8 << 20
 #: Bytes of text that are split at once.
 BLOCK = 4 << 20
 NONE = np.iinfo(np.int64).max
@@ -93,10 +93,13 @@ class Merges:
 
 
 class Counter:
-    """Token counts of texts, with the counts of known pieces kept between calls."""
+    """Token counts of texts, with the counts of known pieces kept between calls.
+
+    What it holds is bounded by ``KNOWN`` and ``KNOWN_CHARS`` and what one block of texts needs beyond them.
+    """
 
     def __init__(self, merges: Merges):
-        self.merges, self.known, self.inner = merges, {}, {}
+        self.merges, self.known, self.inner, self.chars = merges, {}, {}, 0
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         # white space beside a lone space, where a space does not open a token of its own
@@ -105,13 +108,15 @@ class Counter:
     def learn(self, wanted: set[str]) -> None:
         """Count the pieces that aren't known: their tokens after the split, all in one ragged array."""
         pieces = wanted.difference(self.known)
-        if len(self.known) + len(pieces) > KNOWN:
+        if len(self.known) + len(pieces) > KNOWN or self.chars > KNOWN_CHARS:
             self.known.clear()
-            pieces = wanted
+            self.inner.clear()
+            self.chars, pieces = 0, wanted
         if not pieces:
             return
         if len(self.inner) > KNOWN:
             self.inner.clear()
+        self.chars += sum(map(len, pieces))
         parts = {p: self.split(p) for p in pieces}
         fresh = list({x for own in parts.values() for x in own if x not in self.inner})
         self.inner.update(zip(fresh, self.merges.count([x.encode() for x in fresh]).tolist()))
