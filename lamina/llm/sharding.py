@@ -62,24 +62,24 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id") -> DataFrame:
 
 
 def slots(rows: DataFrame, order: list[str], part: Column | None = None) -> DataFrame:
-    """Add ``slot``, which numbers the rows of each ``shard`` from 0 without gaps.
+    """Add ``slot``, which numbers the rows of each ``shard`` from 0 without gaps, by ``order`` within each part of it.
 
     A shard is numbered in ``SLOT_BUCKETS`` parts by a hash of the ``order`` columns (or by ``part``, of at most as
-    many values), so that neither a large shard nor a hot key is sorted by one task; the parts' offsets come from
-    a table of shards x parts counts. Rows that are equal in all of ``order`` take their slots in any order, which
-    no reader can tell apart.
+    many values); the parts' offsets come from a table of shards x parts counts. What is ordered are counts of equal rows, one
+    for each partition of the input that has some, and each is then written as often as it counts: so neither a large
+    shard nor one row that is repeated very often is a task. Equal rows take their slots in any order, which no reader can
+    tell apart. Columns of types that can't be grouped by aren't supported.
     """
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)) if part is None else part)
-    counts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
+    rows = rows.withColumns({"__part": F.pmod(F.xxhash64(*order), F.lit(SLOT_BUCKETS)) if part is None else part, "__from": F.spark_partition_id()})
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    parts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__rows"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("shard", "__part").orderBy(*order)
-    return (
-        rows.withColumn("__rank", F.row_number().over(within))
-        .join(F.broadcast(offsets), ["shard", "__part"])  # at most shards x SLOT_BUCKETS rows
-        .withColumn("slot", (F.col("__before") + F.col("__rank") - 1).cast("long"))
-        .drop("__part", "__rank", "__before")
-    )
+    offsets = parts.select("shard", "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    rest = [c for c in rows.columns if c not in {"shard", "__part", *order}]
+    within = Window.partitionBy("shard", "__part").orderBy(*order, *rest).rowsBetween(Window.unboundedPreceding, 0)
+    ended = counts.withColumn("__end", F.sum("__n").over(within)).join(F.broadcast(offsets), ["shard", "__part"])  # at most shards x SLOT_BUCKETS rows
+    first = F.col("__before") + F.col("__end") - F.col("__n")
+    return ended.withColumn("slot", F.explode(F.sequence(first, first + F.col("__n") - 1))).drop("__part", "__from", "__n", "__end", "__before")
 
 
 def op1_sharding(spark, sf_dir: str, shards: int = 40) -> DataFrame:

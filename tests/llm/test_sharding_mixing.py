@@ -54,6 +54,15 @@ def test_sharding_of_odd_rows(spark):
         sharding.jump_hash("doc_id", 0)
 
 
+def test_slots_of_a_row_that_is_repeated_often(spark):
+    df = spark.createDataFrame([(None, "x")] * 3000 + [(i, "y") for i in range(3000)], "doc_id long, text string").repartition(7)
+    rows = sharding.slots(sharding.assign(df, 4), ["doc_id"]).collect()
+    taken = Counter((r.shard, r.slot) for r in rows)
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 6000 and set(taken) == {(s, i) for s, n in sizes.items() for i in range(n)}
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter(map(tuple, df.collect()))
+
+
 def test_mixing_equals_sql(same):
     assert same(queries.QUERIES["op4_mixing"], queries.ORACLE_SQL["op4_mixing"]) == 1000
 
