@@ -9,7 +9,7 @@ the candidates estimated for it, so crowded parts are left to a fingerprint's ot
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, log, log2
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,23 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import minhash
-from lamina.llm.common import cut, saved, table
-from lamina.llm.graph import components, forest
+from lamina.llm.common import cut, saved, split_by, table
+from lamina.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 U = np.uint64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
-#: Limits of :func:`similar_links`: bits of the first 64 that may differ, and of all 256.
-NEAR, NEAR_ALL = 14, 46
-#: Shortest over longest of two near-duplicates, in shingles.
-RATIO = 0.8
-#: Bands of size within that ratio; finer ones compare and copy less.
-BANDS = 2
-#: Fingerprints of one side of a block.
-BLOCK = 100_000
-#: Shingles of one side of a block of sets.
-TOKENS = 1_000_000
+#: Fingerprints from which on a key is a crowd, whose probes are counted before they are joined.
+CROWD = 256
+#: Shingles of one side of a block of sets, and rounds in which larger groups are first held against single sets.
+TOKENS, ROUNDS = 1_000_000, 2
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -191,8 +185,9 @@ def links(fps: DataFrame, near: int = 2) -> DataFrame:
     Small ``near`` only: probes are rows. An index has each fingerprint's key in each part. A fingerprint's
     candidates in a part are estimated from the key's count in the whole table, thresholds are allocated to it,
     and it is joined by all keys within them. Where even the cheapest thresholds would meet more candidates
-    than the whole ball of ``near`` flipped bits has patterns, it probes that ball instead, so no group of similar
-    fingerprints is paired with itself at more than a fixed cost for each.
+    than the whole ball of ``near`` flipped bits has patterns, it probes that ball instead. So does a fingerprint whose estimate
+    was wrong, as it lies beside a crowd and not in it: what probes of crowded keys would meet is summed before they are
+    joined. So each costs a bounded number of rows, whatever groups of similar fingerprints there are.
     """
     rows = fps.count()
     parts = parts_of(together(fps), plan_parts(rows, near))
@@ -245,7 +240,18 @@ def links(fps: DataFrame, near: int = 2) -> DataFrame:
                             [pa.array(np.full(len(some) * len(f), i), pa.int32()), pa.array((key[some][:, None] ^ f[None, :]).ravel()), pa.array(np.repeat(own[some], len(f)))], names=["part", "key", "a"]
                         )
 
-    probes = seen.mapInArrow(probe, "part int, key long, a long")
+    def ball_of(batches):
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), 256):
+                some = own[at : at + 256]
+                key = (some[:, None] ^ whole[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), len(parts)), pa.int32()), pa.array(key), pa.array(np.repeat(some, len(whole)))], names=["part", "key", "a"])
+
+    probes = cut(seen.mapInArrow(probe, "part int, key long, a long"))
+    meets = probes.join(crowd.where(F.col("n") > CROWD), ["part", "key"]).groupBy("a").agg(F.sum("n").alias("n"))
+    over = cut(meets.where(F.col("n") > 2 * len(whole)).select("a"))
+    probes = probes.join(over, "a", "left_anti").select("part", "key", "a").unionByName(over.mapInArrow(ball_of, "part int, key long, a long"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     found = probes.join(table.withColumnRenamed("fp", "b"), ["part", "key"]).where((F.col("a") != F.col("b")) & (apart <= near))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -270,91 +276,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return label(prints, links(prints.select("fp").distinct(), near), id_col)
 
 
-def block_links(index: np.ndarray, query: np.ndarray, parts: list[list[int]], near: int, near_all: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``query`` and ``index`` (n x lanes words) that differ in at most ``near`` bits of the first word and ``near_all`` of all.
-
-    Within a block each part's keys are counted in an array, and the candidates within every radius of every key
-    come from it exactly: the sum over one-bit flips of the counts at distance r has those at r + 1 and r - 1.
-    """
-    if not len(index) or not len(query):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    levels = min(ceil((near + 1) / len(parts)) + 2, 7)
-    cost, tables = [], []
-    for p in parts:
-        w = len(p)
-        keys, own = keys_of(index[:, 0], p), keys_of(query[:, 0], p)
-        counts = np.bincount(keys, minlength=1 << w)
-        sphere, place = [np.zeros(1 << w, np.int64), counts], np.arange(1 << w)
-        for r in range(levels - 2):
-            sphere.append((sum(sphere[-1][place ^ (1 << b)] for b in range(w)) - (w - r + 1) * sphere[-2]) // (r + 1))
-        inside = np.cumsum(sphere, 0)
-        cost.append(np.stack([np.zeros(len(own))] + [inside[r + 1][own] + 0.3 * sum(comb(w, s) for s in range(r + 1)) for r in range(levels - 1)], 1))
-        tables.append((own, np.argsort(keys, kind="stable"), counts, np.cumsum(counts) - counts, w))
-    level, _ = allocate(np.stack(cost, 1), near + 1)
-    a, b = [], []
-    for i, (own, order, counts, starts, w) in enumerate(tables):
-        for r in range(levels - 1):
-            goes, f = np.flatnonzero(level[:, i] == r + 1), masks(w, r)
-            step = max(1, (1 << 19) // len(f))
-            for at in range(0, len(goes), step):
-                some = goes[at : at + step]
-                key = (own[some][:, None] ^ f[None, :]).ravel()
-                many = counts[key]
-                hit = np.flatnonzero(many)
-                many, first = many[hit], starts[key[hit]]
-                owner = np.repeat(some[hit // len(f)], many)
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - first, many)
-                other = order[place]
-                ok = np.bitwise_count(query[owner, 0] ^ index[other, 0]) <= near
-                owner, other = owner[ok], other[ok]
-                apart = np.bitwise_count(query[owner] ^ index[other]).sum(1, dtype=np.int64)
-                ok = (apart <= near_all) & (apart > 0)
-                a.append(owner[ok])
-                b.append(other[ok])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def similar_links(fps: DataFrame, near: int = NEAR, near_all: int = NEAR_ALL, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` that join the distinct prints (``fp`` of 32 bytes, ``n`` shingles) within the two limits.
-
-    For wide limits, where probes as rows would be too many. Where similarity is of sets, ``n`` is to be the number of
-    different shingles; a print whose texts have several has a row for each. Near-duplicates have numbers of shingles within
-    ``ratio`` of each other, so prints are dealt into bands of size, and a band meets itself and the next ``BANDS``.
-    A band's prints are cut into blocks of ``block``; a task holds two blocks, finds their pairs by the pigeonhole of
-    :func:`block_links`, and returns a spanning forest of them, never more rows than prints. All prints are
-    compared with all of their band: work grows with the square of a band, see the README.
-    """
-    rows = fps.select("fp", F.when(F.col("n") < 1, -BANDS - 1).otherwise(F.floor(F.log("n") * F.lit(BANDS / -log(ratio)) + 1e-9)).cast("int").alias("band"))
-    sizes = dict(rows.groupBy("band").agg(F.count("*")).collect())  # a few dozen: bands are a logarithm of the size
-    first = fps.select(F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long").alias("fp"))
-    parts = parts_of(together(first), 4)
-    cuts = F.create_map(*[F.lit(x) for band, n in sizes.items() for x in (band, ceil(n / block))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-
-    own = F.pmod(F.xxhash64("fp"), cuts[F.col("band")].cast("long")).cast("int")
-
-    def sent(offset: int, index: bool) -> Column:
-        """A print's places in pairs of a band (the index) and the band ``offset`` above it (the queries)."""
-        low, other = F.col("band") - (0 if index else offset), cuts[F.col("band") + (offset if index else -offset)]
-        place = lambda x: F.struct((low * (BANDS + 1) + offset).alias("pair"), (own if index else x).alias("i"), (x if index else own).alias("q"), F.lit(index).alias("index"))
-        return F.transform(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1), lambda x: F.when(other.isNotNull(), place(x)))
-
-    # one pass makes all of a print's places
-    places = F.concat(*[sent(offset, index) for offset in range(BANDS + 1) for index in (True, False)])
-    dealt = rows.select("fp", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("at")).select("at.*", "fp")
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints = pdf["fp"].to_numpy()
-        words = np.frombuffer(b"".join(prints), ">u8").astype(U).reshape(len(prints), -1)
-        index, query = np.flatnonzero(pdf["index"]), np.flatnonzero(~pdf["index"])
-        a, b = block_links(words[index], words[query], parts, near, near_all)
-        found = forest(zip(prints[query[a]], prints[index[b]]))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return dealt.groupBy("pair", "i", "q").applyInPandas(pair, "a binary, b binary")
+def place_of(id_col: str, text_col: str) -> Column:
+    """A 64-bit hash of a row's id and text: where its text is found again."""
+    return F.xxhash64(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id_col``, ``fp`` (a 64-bit hash of the set of shingles), ``n`` different shingles, their ``bands``, the text and a ``row`` number."""
+    """``id_col``, ``fp`` (a 64-bit hash of the set of shingles), ``n`` different shingles, their ``bands`` and the text's ``place`` for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batches):
@@ -362,45 +290,76 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
             sets = [np.unique(shingle_hashes(t or "", size)) for t in batch.column(1).to_pylist()]
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], U).view(np.int64)
             bands = pa.array([minhash.band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), bands, batch.column(1)], names=["id", "fp", "n", "bands", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), bands, batch.column(2)], names=["id", "fp", "n", "bands", "place"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(make, f"id {kind}, fp long, n long, bands array<long>, text string")
-    return saved(out.withColumn("row", F.monotonically_increasing_id()), "sets").withColumnRenamed("id", id_col)
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), place_of(id_col, text_col).alias("place")).mapInArrow(make, f"id {kind}, fp long, n long, bands array<long>, place long")
+    return saved(out, "sets").withColumnRenamed("id", id_col)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """``node`` and ``root`` for each ``fp`` that shares a band with another: the components of unverified links."""
-    keyed = sets.select("fp", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most")
-    return components(keyed.join(shared, "band").where("fp != least").select("fp", "least"))
+def stars(keyed: DataFrame) -> DataFrame:
+    """``fp`` and ``least`` for each ``fp`` that shares a band with a lower one: edges to the least of each band."""
+    return keyed.join(keyed.groupBy("band").agg(F.min("fp").alias("least")), "band").where("fp != least").select("fp", "least").distinct()
 
 
-def verified_links(sets: DataFrame, size: int, tokens: int = TOKENS) -> DataFrame:
-    """Links ``a``, ``b`` that join exactly what all pairs of sets in one component of candidates join at a similarity of 0.8.
+def verified_links(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, tokens: int = TOKENS, rounds: int = ROUNDS) -> DataFrame:
+    """Links ``a``, ``b`` that join exactly what all pairs of sets that share a band join at a similarity of 0.8.
 
-    The components of candidates only say which sets meet: there every pair is checked on the two sets, made
-    again from the texts, and only links that pass are returned. Small components share tasks; one of over
-    ``tokens`` shingles is dealt into blocks, and a task holds two of them, so that all pairs meet and no task grows.
+    Bands only say which sets may meet; each pair is checked on the two sets, made again from the texts of one row a set, and
+    only links that pass are returned. Components of sets that share bands are the tasks, and small ones share a task. In a
+    component of over ``tokens`` shingles each set is first held against the least of each of its bands, which is linear; bands
+    whose sets those links join need no more, and the others go on without their least set. What is still that large after
+    ``rounds`` of it, so many sets that share bands and aren't similar, is dealt into blocks of which a task holds two.
     """
-    nodes = cut(sets.groupBy("fp").agg(F.min("row").alias("row"), F.max("n").alias("n")).join(candidates(sets).withColumnRenamed("node", "fp"), "fp"))
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    blocks = nodes.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(tokens)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    alone = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(total // tokens + 1)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("q")))
-    meets = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own),
-        lambda x: F.struct(F.col("root").alias("task"), F.least(own, x).alias("i"), F.greatest(own, x).alias("q")),
-    )
-    placed = nodes.join(blocks, "root").select("row", "fp", "root", F.when(F.col("blocks") < 2, alone).otherwise(meets).alias("places"))
-    dealt = placed.join(sets.select("row", "text"), "row").select("fp", "root", "text", F.explode("places").alias("at")).select("at.*", "root", "fp", "text")
+    exploded = sets.select("fp", F.explode("bands").alias("band"))
+    shared = exploded.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("band")
+    keyed = cut(exploded.join(shared, "band").select("fp", "band").distinct())
+    own = cut(sets.groupBy("fp").agg(F.min("place").alias("place"), F.max("n").alias("n")).join(keyed.select("fp").distinct(), "fp"))
+    rows = docs.select(place_of(id_col, text_col).alias("place"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # rows that are equal in id and text are one before they are shuffled
+    texts = split_by(rows, F.col("place"), own.select("place"))[0].groupBy("place").agg(F.min("text").alias("text")).join(own.select("place", "fp"), "place").select("fp", "text")
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, own in pdf.groupby("root"):
-            found += minhash.verified(own["fp"].tolist(), [np.unique(shingle_hashes(t, size)) for t in own["text"]])
+        for _, part in pdf.groupby("root"):
+            found += minhash.verified(part["fp"].tolist(), [np.unique(shingle_hashes(t, size)) for t in part["text"]])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def check_star(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for least, part in pdf.groupby("least"):
+            centre = np.unique(shingle_hashes(part["text"][part["fp"] == least].iloc[0], size))
+            others = part[part["fp"] != least]
+            found += [(least, fp) for fp, t in zip(others["fp"], others["text"]) if minhash.similar(centre, np.unique(shingle_hashes(t, size)))]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("task", "i", "q").applyInPandas(check, "a long, b long")
+    out = None
+    for left in reversed(range(rounds + 1)):
+        nodes = cut(own.join(components(stars(keyed)).withColumnRenamed("node", "fp"), "fp"))
+        blocks = nodes.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(tokens)).cast("int").alias("blocks"))
+        total, most = nodes.join(blocks, "root").agg(F.sum("n"), F.max("blocks")).first()
+        most, tasks = most or 0, (total or 0) // tokens + 1
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        alone = F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("q")))
+        others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != mine), lambda x: F.struct(F.col("root").alias("task"), F.least(mine, x).alias("i"), F.greatest(mine, x).alias("q")))
+        placed = nodes.join(blocks, "root").select("fp", "root", "blocks", F.when(F.col("blocks") < 2, alone).otherwise(others).alias("places"))
+        placed = placed if not left else placed.where("blocks < 2")
+        dealt = placed.join(texts, "fp").select("fp", "root", "text", F.explode("places").alias("at")).select("at.*", "root", "fp", "text")
+        found = dealt.groupBy("task", "i", "q").applyInPandas(check, "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if most < 2 or not left:
+            return out
+        keyed = cut(keyed.join(nodes.join(blocks.where("blocks > 1"), "root").select("fp"), "fp"))
+        edges = stars(keyed).join(own.select("fp", "n"), "fp")
+        parts = edges.groupBy("least").agg(F.ceil(F.sum("n") / F.lit(tokens)).cast("int").alias("parts"))
+        ends = edges.join(parts, "least").select("least", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp")
+        ends = ends.unionByName(parts.select("least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("least").alias("fp")))
+        # a part's centre is always there; a part without others costs one set
+        linked = cut(ends.join(texts, "fp").groupBy("least", "part").applyInPandas(check_star, "a long, b long"))
+        out = out.unionByName(linked)
+        rest = keyed.join(keyed.groupBy("band").agg(F.min("fp").alias("least")), "band").where("fp != least").join(components(linked).withColumnsRenamed({"node": "fp"}), "fp", "left")
+        rest = rest.withColumn("root", F.coalesce("root", "fp"))
+        apart = rest.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+        keyed = cut(rest.join(apart, "band").select("fp", "band"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
@@ -408,19 +367,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Similarity is Jaccard's, of sets: shingles that a text repeats count once. Groups are the components of links
     that were each checked on the sets; texts of equal sets are one node, told apart by 64-bit hashes. A pair at
-    exactly 0.8 becomes no candidate with a probability of 1.3e-7, a closer one with less.
+    exactly 0.8 becomes no candidate with a probability of 1.3e-7, a closer one with less. Null texts are empty; texts without
+    words are one group; null ids are skipped as least ids; an empty table gives no rows.
     """
     sets = shingle_sets(docs, id_col, text_col, size)
-    return label(sets.select(id_col, "fp"), verified_links(sets, size), id_col).drop("fp")
+    return label(sets.select(id_col, "fp"), verified_links(sets, docs, id_col, text_col, size), id_col).drop("fp")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each group, the one with the least id stays.
 
-    Rows that repeat an id are one document and stay or go together; rows with a null id stay.
+    Rows that repeat an id are one document and stay or go together; rows with a null id stay. Only rows that a bitmap of
+    the ids that go has are shuffled.
     """
-    gone = similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = cut(similar_documents(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    maybe, stay = split_by(docs, F.xxhash64(id_col), gone.select(F.xxhash64(id_col).alias("at")))
+    return stay.unionByName(maybe.join(gone, id_col, "left_anti").select(*docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lamina.llm import graph, language_model, lines, minhash, queries, simhash, warc
-from lamina.llm.common import fresh_dir, saved, ship
+from lamina.llm.common import fresh_dir, saved, ship, split_by
 
 SF = "/root/testdata/sf0.01"
 
@@ -62,6 +62,9 @@ def test_links_of_crowded_prints(spark, texts, monkeypatch):
         for _ in range(400):
             prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))
     prints |= {rng.getrandbits(64) for _ in range(500)} | {0, 1, 2**64 - 1}
+    crowd = rng.getrandbits(64)  # many prints that differ in one half, and lone ones beside what they share
+    prints |= {crowd ^ (rng.getrandbits(32) << 32) for _ in range(3000)} | {crowd ^ 1 << b for b in range(32)}
+    monkeypatch.setattr(simhash, "CROWD", 16)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
     got = {tuple(r) for r in simhash.links(df, 2).select("a", "b").collect()}
     signed = sorted(int(np.uint64(p).view(np.int64)) for p in prints)
@@ -77,41 +80,6 @@ def test_allocation_is_the_cheapest():
         assert least[i] == pytest.approx(best) and level[i].sum() == 3
 
 
-def test_block_links_equal_brute_force():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
-    noise = np.packbits(rng.random((240, 256)) < 0.08, axis=1).view(np.uint64)
-    words = np.concatenate([base, np.repeat(base, 4, 0) ^ noise])
-    parts = simhash.parts_of(np.eye(64), 4)
-    for near, near_all in ((14, 46), (8, 200), (3, 60)):
-        a, b = simhash.block_links(words, words, parts, near, near_all)
-        apart = np.bitwise_count(words[:, None] ^ words[None]).astype(int)
-        want = np.argwhere((apart[:, :, 0] <= near) & (apart.sum(2) <= near_all) & (apart.sum(2) > 0))
-        assert {tuple(map(int, p)) for p in want} == set(zip(a.tolist(), b.tolist()))
-
-
-def test_near_copies_are_grouped_in_blocks(spark, texts, monkeypatch):
-    rng = random.Random(6)
-    some = [t for t in texts.values() if 60 < len(t.split()) < 2000][:40]
-    rows, group = [], {}
-    for i, t in enumerate(some):
-        words = t.split()
-        for j in range(3):
-            own = list(words)
-            for _ in range(j * len(words) // 150):
-                own[rng.randrange(len(own))] = "changed"
-            rows.append((i * 10 + j, " ".join(own)))
-            group[i * 10 + j] = i * 10
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    base = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
-    assert sum(base[k] == base[g] for k, g in group.items()) >= 0.97 * len(group)
-    assert len(set(base.values())) >= 36  # some of the texts are copies of each other
-    prints = saved(simhash.fingerprints(df, size=5, lanes=4))
-    fps = prints.groupBy("fp").agg(F.min("n").alias("n"))
-    split = simhash.label(prints.drop("n"), simhash.similar_links(fps, block=7), "doc_id")
-    assert {r.doc_id: r.component_id for r in split.collect()} == base
-
-
 def jaccard(a, b, size=5):
     a, b = (set(simhash.shingle_hashes(t, size).tolist()) for t in (a, b))
     return len(a & b) / len(a | b)
@@ -131,9 +99,10 @@ def test_similar_documents_equal_exact_jaccard(spark, texts):
     pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if jaccard(rows[a], rows[b]) >= 0.8]
     want = joined(range(len(rows)), pairs)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
-    sets = simhash.shingle_sets(df, "doc_id", "text", 5)  # blocks of few shingles, so that components are dealt over several tasks
-    split = simhash.label(sets.select("doc_id", "fp"), simhash.verified_links(sets, 5, tokens=500), "doc_id")
-    assert {r.doc_id: r.component_id for r in split.collect()} == want
+    sets = simhash.shingle_sets(df, "doc_id", "text", 5)
+    for rounds in (0, 2):  # blocks of few shingles, so that components are dealt over several tasks, at once or after rounds of stars
+        split = simhash.label(sets.select("doc_id", "fp"), simhash.verified_links(sets, df, "doc_id", "text", 5, tokens=500, rounds=rounds), "doc_id")
+        assert {r.doc_id: r.component_id for r in split.collect()} == want
 
 
 def test_pairs_just_over_the_similarity_are_found(spark, texts):
@@ -170,8 +139,6 @@ def test_repeated_shingles_count_once(spark, texts):
     rows = [words, words * 2, words + words[-10:] * 90, [f"w{rng.getrandbits(40)}" for _ in range(300)]]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
-    fps = spark.createDataFrame([(b"\0" * 32, 10), (b"\0" * 32, 1000), (b"\0" * 31 + b"\1", 11), (b"\0" * 31 + b"\2", 1010)], "fp binary, n long")
-    assert {bytes(x)[-1] for r in simhash.similar_links(fps).collect() for x in r} == {0, 1, 2}  # a print with two sizes has both's neighbours
 
 
 def test_near_duplicates_of_odd_rows(spark, texts):
@@ -184,6 +151,15 @@ def test_near_duplicates_of_odd_rows(spark, texts):
     assert stay.columns == df.columns and sorted(str(r.doc_id) for r in stay.collect()) == ["3", "7", "8", "8", "None"]
 
 
+def test_rows_are_split_by_keys(spark, texts):
+    rows = spark.range(5000).select((F.col("id") % 4000).alias("id"), F.lit("x").alias("__bit")).unionByName(spark.createDataFrame([(None, "x")], "id long, __bit string"))
+    keys = saved(spark.range(3900, 4100).select(F.xxhash64("id").alias("k")))
+    maybe, rest = split_by(rows, F.when(F.col("id").isNotNull(), F.xxhash64("id")), keys)
+    assert maybe.columns == rest.columns == rows.columns and maybe.count() + rest.count() == 5001
+    inside = {r.id for r in maybe.collect()}
+    assert set(range(3900, 4000)) <= inside and len(inside) < 900 and not inside & {r.id for r in rest.collect()}
+
+
 def test_components(spark, texts):
     rng = random.Random(8)
     chain = [(i, i + 1) for i in range(300)]
