@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import saved, table
+from lamina.llm.common import saved, slices, table
 from lamina.llm.sketches import code_points
 
 Q = 8
@@ -284,7 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def find(batches, sent=sent):
             index = sent.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in matches(index, t or "")]
                 if rows:
                     doc, item, *rest = zip(*rows)
@@ -311,7 +311,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def keep(batches, sent=sent):
             index = sent.value
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not matches(index, t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

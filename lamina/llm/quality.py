@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, table
+from lamina.llm.common import cut, slices, table
 
 #: Rows that the classifier is fitted on at most; labelled rows are drawn by a hash of their id.
 MOST_LABELLED = 40_000
@@ -63,7 +63,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t or "") for t in batch.column(1).to_pylist()]
             flat = np.concatenate(x) if x else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(flat.astype(np.float32), pa.float32()))
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.of(batch.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
     scored = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string")).mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -204,7 +204,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model, at = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, id_col, text_col)), docs.columns.index(text_col)
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(model.value.of(batch.column(at).to_pylist()) >= THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import minhash
-from lamina.llm.common import cut, saved, split_by, table
+from lamina.llm.common import cut, saved, slices, split_by, table
 from lamina.llm.graph import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t or "", size, lanes) for t in batch.column(1).to_pylist()]
             if lanes == 1:
                 prints = pa.array(np.array([f[0] for f, _ in found], U).view(np.int64) if found else [], pa.int64())
@@ -286,7 +286,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t or "", size)) for t in batch.column(1).to_pylist()]
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], U).view(np.int64)
             bands = pa.array([minhash.band_keys(s) for s in sets], pa.list_(pa.int64()))
