@@ -42,15 +42,22 @@ LEVEL_FACTOR = 10
 
 
 class Commit(Enum):
-    """When a batch of rows is durable: at once, or with each ``Options.group`` batches and at a flush or close."""
+    """When a batch of rows is durable: at once; with each ``Options.group`` batches; or with the first batch that comes ``Options.seconds``
+    after the last write. What is held is durable at a flush or close in any case.
+    """
 
     EACH = "each"
     GROUP = "group"
+    PERIOD = "period"
 
 
 @dataclass(frozen=True)
 class Options:
-    """``use_log=False`` writes runs at once, without a log. ``flush_bytes`` and ``run_bytes`` are accounted bytes."""
+    """``use_log=False`` writes runs at once, without a log. ``flush_bytes`` and ``run_bytes`` are accounted bytes.
+
+    The defaults are those of a small table. A run is a file and a line of the manifest, so a table of terabytes wants
+    ``flush_bytes`` and ``run_bytes`` of a gigabyte or so and a ``level_base`` of many.
+    """
 
     num_levels: int = 7
     flush_bytes: int = 4 << 20
@@ -60,6 +67,7 @@ class Options:
     use_log: bool = True
     commit: Commit = Commit.EACH
     group: int = 100
+    seconds: float = 0.1
 
     def __post_init__(self):
         if self.num_levels < 2:

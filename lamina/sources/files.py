@@ -42,6 +42,11 @@ class Files:
             raise
         return True
 
+    def move(self, source: str, folder: str) -> None:
+        """Move a file or folder into another folder, which is made."""
+        self.fs.mkdirs(self.path(folder))
+        self.fs.rename(self.path(source), self.path(f"{folder}/{source.rsplit('/', 1)[1]}"))
+
     def names(self, folder: str) -> list[str]:
         if not self.fs.exists(self.path(folder)):
             return []

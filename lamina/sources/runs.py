@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.expressions import entry_bytes
@@ -26,9 +26,14 @@ def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: i
     return [Run(level, first_id + i, f"{folder}/{r['file'].rsplit('/', 1)[1]}", r["low"], r["high"], r["n"], r["size"]) for i, r in enumerate(found)]
 
 
+def verified(spark: SparkSession) -> DataFrameReader:
+    """A reader of runs that holds each page against its checksum, so that a changed byte is an error."""
+    return spark.read.schema(MUTATION).option("parquet.page.verify-checksum.enabled", "true")
+
+
 def described(spark: SparkSession, paths: list[str]) -> list:
     """Exact bounds, rows, accounted bytes and range of seq of each file in some folders: a row for each file."""
-    return spark.read.schema(MUTATION).parquet(*paths).groupBy(F.input_file_name().alias("file")).agg(
+    return verified(spark).parquet(*paths).groupBy(F.input_file_name().alias("file")).agg(
         F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.sum(entry_bytes(tombstone=F.col("tombstone"))).alias("size"),
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
     ).collect()
@@ -58,7 +63,7 @@ def listed(spark: SparkSession, root: str, num_levels: int) -> tuple[list[Run],
 def read(spark: SparkSession, root: str, runs: list[Run]) -> DataFrame:
     if not runs:
         return spark.createDataFrame([], MUTATION)
-    return spark.read.schema(MUTATION).parquet(*[f"{root}/runs/{r.path}" for r in runs])
+    return verified(spark).parquet(*[f"{root}/runs/{r.path}" for r in runs])
 
 
 def may_hold(runs: list[Run], low: str, high: str) -> list[Run]:

@@ -13,21 +13,25 @@ from lamina.schema import MUTATION
 from lamina.store import Store
 
 
-def into_store(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> StreamingQuery:
+def into_store(stream: DataFrame, store: Store, checkpoint: str, name: str | None = None, **trigger) -> StreamingQuery:
     """Append each micro-batch of mutations as one log batch, exactly once.
 
-    Spark may run a micro-batch again after a failure. Rows bring their own (ts, seq), so a batch that is
-    appended twice resolves to the same state.
+    Spark may run a micro-batch again after a failure. The log's frame, and the manifest after a flush, have the stream's name
+    (by default its checkpoint) and the number of its last batch, and a batch that is there already is not appended again. A batch
+    without rows leaves nothing.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        reduced = newest(batch.select(*MUTATION.names))
-        if not reduced.isEmpty():
-            store._append(reduced)
+        store._append(newest(batch.select(*MUTATION.names)), (name or checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _version(row: tuple) -> tuple:
+    value, ts, seq, dead = row
+    return ts, seq, dead, value is not None, value or ""
+
+
 class _Latest(StatefulProcessor):
     """Keeps a key's newest mutation; a late one with a lower (ts, seq) changes nothing."""
 
@@ -37,9 +41,9 @@ class _Latest(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = tuple(self.held.get()) if self.held.exists() else None
         for pdf in rows:
-            top = pdf.sort_values(["ts", "seq"]).iloc[-1]
+            top = pdf.sort_values(["ts", "seq", "tombstone", "value"], na_position="first").iloc[-1]
             new = (None if pd.isna(top["value"]) else str(top["value"]), int(top["ts"]), int(top["seq"]), bool(top["tombstone"]))
-            best = new if best is None or new[1:3] > best[1:3] else best
+            best = new if best is None or _version(new) > _version(best) else best
         if best is not None:
             self.held.update(best)
             yield pd.DataFrame({"key": [key[0]], "value": [best[0]], "ts": [best[1]], "seq": [best[2]], "tombstone": [best[3]]})

@@ -185,3 +185,95 @@ def test_entries_of_a_run_come_in_order(spark, tmp_path):
     s.delete("c")
     s.flush()
     assert [(r.key, r.tombstone) for r in s.entries(s.snapshot.runs[0])] == [("a", False), ("b", False), ("c", True)]
+
+
+def test_a_log_without_its_first_batch_is_not_replayed(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    for i in range(4):
+        s.put(f"k{i}", "v")
+    for x in ("b000000000000.json", ".b000000000000.json.crc"):
+        (tmp_path / "log" / x).unlink()
+    s = Store(spark, str(tmp_path), Options())
+    assert state(s) == {} and len(list((tmp_path / "lost").glob("*/b*"))) >= 7  # set aside, not deleted
+    s.put("again", "v")
+    assert state(Store(spark, str(tmp_path), Options())) == {"again": "v"}
+
+
+def test_an_empty_table_is_no_batch_and_seq_counts_batches(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    rows = spark.createDataFrame([(f"k{i}", str(i)) for i in range(8)], "key string, value string").repartition(8)
+    s.put_batch(rows.limit(0))
+    s.delete_keys(rows.limit(0).select("key"))
+    assert s.frames == {} and not list((tmp_path / "log").glob("b*"))
+    s.put_batch(rows)
+    s.put_batch(spark.createDataFrame([("k0", "a", 1), ("k0", "c", 1), ("k0", "b", 1)], "key string, value string, ts long"))
+    assert s._next_seq == 2
+    s.put_batch(spark.createDataFrame([("t", "a"), ("t", "c"), ("t", "b")], "key string, value string").repartition(3))
+    assert s.get("t") == "c" and s.get("k0") == "0"  # without an order the greatest value; a late row loses
+
+
+def test_a_stream_batch_that_comes_again_is_not_appended(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    rows = lambda i: spark.createDataFrame([("a", str(i), i, i, False)], MUTATION)
+    for i in (0, 0, 1, 1, 0):
+        s._append(rows(i), ("in", i))
+    assert len(s.frames) == 2 and s.stats()["log_bytes"] == 2 * (1 + 1 + 16)
+    s = Store(spark, str(tmp_path), Options())
+    s._append(rows(1), ("in", 1))
+    s.flush()
+    s._append(rows(1), ("in", 1))
+    assert s.frames == {} and s.streams() == {"in": 1} == Store(spark, str(tmp_path), Options()).streams()
+    s._append(rows(0), ("other", 0))
+    assert len(s.frames) == 1
+
+
+def test_a_changed_byte_of_a_run_is_an_error(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    s.put_batch([(f"k{i:03d}", f"value {i}") for i in range(200)])
+    s.flush()
+    path = tmp_path / "runs" / s.snapshot.runs[0].path
+    (path.parent / f".{path.name}.crc").unlink()  # so that the file system does not notice
+    data = bytearray(path.read_bytes())
+    import pyarrow.parquet as pq
+
+    column = pq.ParquetFile(path).metadata.row_group(0).column(1)
+    data[column.data_page_offset + column.total_compressed_size // 2] ^= 1
+    path.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc|FAILED_READ_FILE"):
+        state(s)
+
+
+def test_commit_by_time_and_the_memtable(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options(commit=Commit.PERIOD, seconds=3600))
+    s.put("b", "1")
+    s.put("a", "22")
+    s.delete("b")
+    assert s.frames == {} and [(r.key, r.tombstone) for r in s.memtable().collect()] == [("a", False), ("b", True)]
+    assert s.memtable_size() == (2, 1 + 2 + 16 + 1 + 16)
+    s.synced -= 3601
+    s.put("c", "3")
+    assert len(s.frames) == 1 and Store(spark, str(tmp_path), Options()).get("c") == "3"
+    s.flush()
+    assert s.memtable().count() == 0 and s.memtable_size() == (0, 0)
+
+
+def test_a_level_gives_a_stretch_of_its_runs():
+    from lamina.plans.compaction import next_merge
+    from lamina.sources.manifest import Run, Snapshot
+
+    one = tuple(Run(1, i, f"a/{i}", f"k{i}0", f"k{i}9", 1, 100) for i in (3, 1, 2, 0))
+    two = tuple(Run(2, 10 + i, f"b/{i}", f"k{i}0", f"k{i}9", 1, 100) for i in range(4))
+    plan = next_merge(Snapshot(num_levels=4, runs=one + two), Options(num_levels=4, level_base=25))
+    assert plan.level == 2 and not plan.bottom and {r.run_id for r in plan.inputs} == {0, 1, 10, 11}
+
+
+def test_a_log_that_was_trimmed_begins_after_the_runs(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options())
+    s.put("a", "1")
+    s.flush()
+    s.put("b", "2")
+    s.put("c", "3")
+    shutil.rmtree(tmp_path / "manifest")
+    assert state(Store(spark, str(tmp_path), Options())) == {"a": "1", "b": "2", "c": "3"}
+    (tmp_path / "log" / "b000000000001.json").unlink()  # after the recovery the manifest knows where the log begins
+    assert state(Store(spark, str(tmp_path), Options())) == {"a": "1"}
