@@ -3,21 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that all executors share."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Have checkpoints go to the folder that all executors share."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:  # tests: a local folder, removed at exit
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:  # in one process: a local folder, removed at exit
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             path = f"/tmp/checkpoints/lamina-{context.applicationId}"
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         context.setCheckpointDir(path)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

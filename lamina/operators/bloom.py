@@ -1,16 +1,22 @@
-"""Bloom filters as relations of set bits."""
+"""Bloom filters as relations of set bits, and packed into words where they are small enough to send to every task."""
 
 from __future__ import annotations
 
+import struct
+from dataclasses import dataclass
 from math import ceil, log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.expressions import fnv32
 from lamina.schema import BLOOM_BITS_PER_KEY
 
 
+#: Bits of a filter that is packed at most: 8 MB.
+MOST_PACKED = 1 << 26
+
+
 def parameters(keys: int, bits_per_key: int = BLOOM_BITS_PER_KEY) -> tuple[int, int]:
     """Bits (a power of two, 64 at least) and hashes of a filter for ``keys`` keys."""
     keys = max(keys, 1)
@@ -32,6 +38,56 @@ def build(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
     return keys.select("key").distinct().select(F.explode(_bits(bits, hashes)).alias("bit")).distinct()
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A filter in one piece: bit i is bit i % 64 of word i // 64."""
+
+    words: tuple[int, ...]
+    hashes: int
+
+    @property
+    def bits(self) -> int:
+        return 64 * len(self.words)
+
+    @classmethod
+    def of(cls, filter_bits: DataFrame, bits: int, hashes: int) -> Packed:
+        """Pack a relation of set bits; a row for each word that has any reaches the driver, 8 MB in all at most."""
+        if bits > MOST_PACKED:
+            raise ValueError("the filter is too large to be packed")
+        shift = F.pmod("bit", F.lit(64)).cast("int")
+        words = [0] * (bits // 64)
+        for r in filter_bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), shift)).alias("word")).collect():
+            words[r["at"]] = r["word"]
+        return cls(tuple(words), hashes)
+
+    @classmethod
+    def wrap(cls, raw: bytes, hashes: int) -> Packed:
+        """The filter of stored bits, eight a byte, lowest first; the number of bits is a power of two and 64 at least."""
+        if len(raw) < 8 or len(raw) & (len(raw) - 1):
+            raise ValueError("a filter has a power of two of bits, 64 at least")
+        return cls(struct.unpack(f"<{len(raw) // 8}q", raw), hashes)
+
+    def raw(self) -> bytes:
+        return struct.pack(f"<{len(self.words)}q", *self.words)
+
+    def probe(self, spark: SparkSession, probes: DataFrame) -> DataFrame:
+        """As :func:`probe`, in one pass over the different probes: the words are one row that every task has."""
+        held = F.broadcast(spark.createDataFrame([(list(self.words),)], "__words array<long>"))
+        return probes.select("key").distinct().join(held).select("key", F.forall(_bits(self.bits, self.hashes), _has).alias("maybe"))
+
+
+def _has(bit: Column) -> Column:
+    word = F.get(F.col("__words"), F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def may_contain(filter_bits: DataFrame, probes: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """``key`` and ``maybe`` for each different probe: a filter of up to ``MOST_PACKED`` bits is sent to the tasks, a larger one joined."""
+    if bits <= MOST_PACKED:
+        return Packed.of(filter_bits, bits, hashes).probe(probes.sparkSession, probes)
+    return probe(filter_bits, probes, bits, hashes)
+
+
 def probe(filter_bits: DataFrame, probes: DataFrame, bits: int, hashes: int) -> DataFrame:
     """``key`` and ``maybe`` for each different probe: false means that the key was never added."""
     wanted = probes.select("key").distinct().select("key", F.explode(F.array_distinct(_bits(bits, hashes))).alias("bit"))

@@ -44,10 +44,13 @@ def merge(runs: list[DataFrame] | DataFrame, bottom: bool = False) -> DataFrame:
 
 
 def split(entries: DataFrame, run_bytes: int) -> DataFrame:
-    """Add ``piece``: entries in key order are cut where their accounted bytes pass a multiple of ``run_bytes``.
+    """Add ``piece``: entries in key order, each key once, are cut where their accounted bytes pass a multiple of ``run_bytes``.
 
-    File bounds mean nothing to readers, so pieces are cut within each range partition, and none needs another's sum.
+    Each range partition sums its own; what the ones before it sum to comes from a table with a row for each.
     """
-    rows = stretched(entries, "key")
-    so_far = F.sum(entry_bytes(tombstone=F.col("tombstone"))).over(Window.partitionBy("__stretch").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("piece", F.concat_ws("-", "__stretch", F.floor((so_far - 1) / run_bytes).cast("string"))).drop("__stretch")
+    rows = stretched(entries.withColumn("__bytes", entry_bytes(tombstone=F.col("tombstone"))), "key")
+    sums = rows.groupBy("__stretch").agg(F.sum("__bytes").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    so_far = F.sum("__bytes").over(Window.partitionBy("__stretch").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    cut = rows.withColumn("__sum", so_far).join(F.broadcast(sums.select("__stretch", before.alias("__before"))), "__stretch")
+    return cut.withColumn("piece", F.floor((F.col("__sum") + F.col("__before") - 1) / run_bytes).cast("long")).drop("__stretch", "__bytes", "__sum", "__before")

@@ -1,4 +1,4 @@
-"""Newest-wins resolution. One order holds everywhere: the greatest (ts, seq) of a key wins."""
+"""Newest-wins resolution. One order holds everywhere: the greatest (ts, seq) of a key wins, then a delete, then the greatest value."""
 
 from __future__ import annotations
 

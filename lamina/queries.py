@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.expressions import entry_bytes, entry_crc
+from lamina.functions.ordinals import shared_folder
 from lamina.operators import bloom, merge, read, resolve, sparse_index, statistics
-from lamina.plans.compaction import MOST_INPUTS
-from lamina.schema import MUTATION
+from lamina.plans.compaction import MOST_INPUTS, oldest
+from lamina.schema import MUTATION, Options
 from lamina.sources.log import valid_prefix
+from lamina.sources.manifest import Run
+from lamina.store import Store
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -157,9 +160,10 @@ def keep_tombstones(spark, sf_dir):
     return merge.merge(mutations(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {ORDERS_SQL}, s AS (SELECT key, (sum(strlen(key) + strlen(value) + 16) OVER (ORDER BY key) - 1) // 65536 AS piece FROM o)
+SELECT min(key) AS min_key, max(key) AS max_key, count(*) AS rows FROM s GROUP BY piece""")
 def split_runs(spark, sf_dir):
-    """Runs of 64 KiB: cuts follow range partitions, so only their sizes are fixed."""
+    """Runs of 64 KiB."""
     pieces = merge.split(as_mutations(order_entries(spark, sf_dir), 1), 64 << 10)
     return sparse_index.bounds(pieces, "piece").select("min_key", "max_key", "rows")
 
@@ -202,8 +206,8 @@ def level_overlap(spark, sf_dir):
 @query(f"WITH {MUTATIONS_SQL}, {RUNS_SQL} SELECT run_id, min_key, max_key FROM v WHERE level = 0 ORDER BY run_id LIMIT (SELECT least(greatest(count(*) // 2, 1), {MOST_INPUTS}) FROM v WHERE level = 0)")
 def compaction_inputs(spark, sf_dir):
     """The oldest half of level 0's runs, at most four: a limit that the operator has."""
-    zero = catalog(spark, sf_dir).where("level = 0").select("run_id", "min_key", "max_key")
-    return zero.orderBy("run_id").limit(min(max(zero.count() // 2, 1), MOST_INPUTS))
+    zero = [Run(r.level, r.run_id, "", r.min_key, r.max_key, r.rows, r.bytes) for r in catalog(spark, sf_dir).where("level = 0").collect()]  # a catalog's rows
+    return spark.createDataFrame([(r.run_id, r.min_key, r.max_key) for r in oldest(zero)], "run_id long, min_key string, max_key string")
 
 
 @query(f"WITH {MUTATIONS_SQL}, {RUNS_SQL} SELECT r.level, coalesce(count(v.run_id), 0) AS files, CAST(coalesce(sum(v.bytes), 0) AS BIGINT) AS bytes FROM (SELECT unnest(range(7)) AS level) r LEFT JOIN v ON v.level = r.level GROUP BY r.level")
@@ -262,7 +266,7 @@ def bloom_bits(spark, sf_dir):
 @query(f"WITH {BLOOM_SQL}, {_bits_sql('o', 'ob')} SELECT ob.key, count(f.bit) = count(*) AS maybe FROM ob LEFT JOIN f ON ob.bit = f.bit GROUP BY ob.key")
 def bloom_probe(spark, sf_dir):
     made, bits, hashes = _filter(spark, sf_dir)
-    return bloom.probe(made, order_entries(spark, sf_dir), bits, hashes)
+    return bloom.may_contain(made, order_entries(spark, sf_dir), bits, hashes)
 
 
 @query(f"""WITH {BLOOM_SQL}, {_bits_sql('o', 'ob')}, g AS (SELECT ob.key, count(f.bit) = count(*) AS maybe FROM ob LEFT JOIN f ON ob.bit = f.bit GROUP BY ob.key)
@@ -270,7 +274,7 @@ SELECT CAST(count_if(maybe AND a.key IS NULL) AS BIGINT) AS false_positives, CAS
 FROM g LEFT JOIN (SELECT DISTINCT key FROM a) a ON g.key = a.key""")
 def bloom_skips(spark, sf_dir):
     made, bits, hashes = _filter(spark, sf_dir)
-    probed = bloom.probe(made, order_entries(spark, sf_dir), bits, hashes)
+    probed = bloom.may_contain(made, order_entries(spark, sf_dir), bits, hashes)
     asked = asked_orders(spark, sf_dir).distinct().withColumn("added", F.lit(True))
     maybe, added = F.col("maybe"), F.col("added").isNotNull()
     return probed.join(asked, "key", "left").agg(
@@ -293,11 +297,56 @@ def log_valid_prefix(spark, sf_dir):
     return valid_prefix(frames.withColumn("ok", F.col("batch_id") % 7 != 6)).select("batch_id", "n")
 
 
-@query()
+#: CRC-32 by its table of 256 remainders, over the bytes of the two texts behind their lengths.
+@query("""WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id || coalesce(CAST(strlen(text) AS VARCHAR), '-') || ':' || coalesce(text, ''))), '..'),
+  lambda x: (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM d, t""")
 def entry_checksums(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", entry_crc("doc_id", "text").alias("crc"))
 
 
+STORED_SQL = f"""WITH {ORDERS_SQL}, x AS (SELECT key, value, 1 AS ts FROM o UNION ALL
+  SELECT 'order-' || lpad(CAST(o_orderkey * 3 AS VARCHAR), 10, '0'), 'new-' || o_orderpriority, 2 FROM orders),
+g AS (SELECT 'order-' || lpad(CAST(c_custkey * 17 AS VARCHAR), 10, '0') AS key FROM customer)
+SELECT key, value FROM x WHERE key NOT IN (SELECT key FROM g) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) = 1"""
+
+
+def stored(spark, sf_dir) -> Store:
+    """A table of orders, changed and in part deleted in three batches, of which two are in merged runs and the last is in the log."""
+    store = Store(spark, shared_folder(spark, "store"), Options(num_levels=3, level0_runs=1, level_base=1 << 16, flush_bytes=1 << 40, run_bytes=1 << 18))
+    store.put_batch(order_entries(spark, sf_dir))
+    store.flush()
+    store.put_batch(table(spark, sf_dir, "orders").select(F.concat(F.lit("order-"), F.lpad((F.col("o_orderkey") * 3).cast("string"), 10, "0")).alias("key"), F.concat(F.lit("new-"), "o_orderpriority").alias("value")))
+    store.flush()
+    store.delete_keys(asked_orders(spark, sf_dir))
+    return store
+
+
+@query(STORED_SQL)
+def stored_table(spark, sf_dir):
+    """What a table that was flushed and merged has when it is opened again: runs, and the log's tail."""
+    store = stored(spark, sf_dir)
+    return Store(spark, store.root, store.options).table()
+
+
+@query(STORED_SQL)
+def recovered_table(spark, sf_dir):
+    """The same after the manifest was lost, from the runs and the log alone, flushed again."""
+    store = stored(spark, sf_dir)
+    store.manifest.files.delete(store.manifest.folder)
+    again = Store(spark, store.root, store.options)
+    again.flush()
+    return again.table()
+
+
+@query(f"""WITH {ORDERS_SQL}, {ASKED_SQL}, g AS (SELECT DISTINCT key FROM a)
+SELECT key, '' AS value, true AS tombstone FROM g""")
+def memtable_scan(spark, sf_dir):
+    """What the log has and no run: the newest version of each key, tombstones included."""
+    return stored(spark, sf_dir).memtable().select("key", "value", "tombstone")
+
+
 @query(f"WITH {MUTATIONS_SQL} SELECT key, value FROM l WHERE key BETWEEN 'user-00000010' AND 'user-00000099'")
 def ext_range_scan(spark, sf_dir):
     return read.scan(mutations(spark, sf_dir), "user-00000010", "user-00000099")

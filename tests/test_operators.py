@@ -124,3 +124,20 @@ def test_merged_order_of_a_hot_key(spark):
         want.setdefault((r[0], places[r[0]]), (r[2], r[3]))
     assert {(r.key, r.place): (r.ts, r.seq) for r in got} == want and len(got) == len(rows)
     assert merge.merged_order(spark.createDataFrame([], MUTATION)).count() == 0
+
+
+def test_packed_filters(spark):
+    """No key is missed, few others pass, and stored bits give the same answers; the relation of bits agrees."""
+    keys = spark.range(10_000).select(F.format_string("key-%08d", "id").alias("key"))
+    others = spark.range(10_000).select(F.format_string("other-%08d", "id").alias("key"))
+    bits, hashes = bloom.parameters(10_000)
+    made = bloom.build(keys, bits, hashes)
+    packed = bloom.Packed.of(made, bits, hashes)
+    assert packed.probe(spark, keys).where("maybe").count() == 10_000
+    assert packed.probe(spark, others).where("maybe").count() <= 500
+    again = bloom.Packed.wrap(packed.raw(), hashes)
+    assert again == packed and again.bits == bits
+    some = others.limit(300).unionByName(keys.limit(300))
+    assert sorted(map(tuple, bloom.probe(made, some, bits, hashes).collect())) == sorted(map(tuple, bloom.may_contain(made, some, bits, hashes).collect()))
+    with pytest.raises(ValueError):
+        bloom.Packed.wrap(b"\0" * 24, 3)
