@@ -319,3 +319,25 @@ def test_pipeline(spark, texts):
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert kept[2] - kept[3] >= {k for k in kept[2] if any(b in texts[k] for b in bench)}
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_stages_of_odd_rows(spark, texts):
+    """Nulls in any column, repeated rows, a very long text, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    prose = [t for t in texts.values() if 50 < len(t.split()) < 200][:30]
+    names = ["shard", "copies", "target", "size", "fp", "place", "n", "root", "band", "score", "x", "y", "quality", "least", "item_id"]
+    rows = [(i, t, "en", "a" if i % 2 else None, len(t), *range(len(names))) for i, t in enumerate(prose)]
+    rows += [(None, None, None, None, None, *[None] * len(names)), (None, prose[0], None, None, None, *[None] * len(names)), rows[3], rows[3], (500, "", "en", "b", 0, *range(len(names))), (501, "word " * 300_000, "en", "b", 0, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for some in (df, df.limit(0)):
+        docs = saved(some)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, saved(stage(spark, docs, SF), name)
+            columns = [c for c in before.columns if name != "sharding" or c != "shard"]
+            assert [c for c in docs.columns if c in columns] == columns
+            assert docs.select(*columns).distinct().join(before.select(*columns).distinct().withColumn("__was", F.lit(1)), [docs[c].eqNullSafe(before[c]) for c in columns], "left").where("__was is null").count() == 0
+            if not some.count():
+                assert docs.count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, saved(df), SF).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and sum(r.doc_id == 3 for r in kept) in (0, 3)
