@@ -99,7 +99,7 @@ class Counter:
     """
 
     def __init__(self, merges: Merges):
-        self.merges, self.known, self.inner, self.chars = merges, {}, {}, 0
+        self.merges, self.known, self.inner, self.chars, self.inner_chars = merges, {}, {}, 0, 0
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         # white space beside a lone space, where a space does not open a token of its own
@@ -110,15 +110,16 @@ class Counter:
         pieces = wanted.difference(self.known)
         if len(self.known) + len(pieces) > KNOWN or self.chars > KNOWN_CHARS:
             self.known.clear()
-            self.inner.clear()
             self.chars, pieces = 0, wanted
         if not pieces:
             return
-        if len(self.inner) > KNOWN:
+        if len(self.inner) > KNOWN or self.inner_chars > KNOWN_CHARS:
             self.inner.clear()
+            self.inner_chars = 0
         self.chars += sum(map(len, pieces))
         parts = {p: self.split(p) for p in pieces}
         fresh = list({x for own in parts.values() for x in own if x not in self.inner})
+        self.inner_chars += sum(map(len, fresh))
         self.inner.update(zip(fresh, self.merges.count([x.encode() for x in fresh]).tolist()))
         inner = self.inner
         self.known.update({p: sum(inner[x] for x in own) for p, own in parts.items()})
