@@ -13,15 +13,26 @@ from lamina.sources.files import Files
 from lamina.sources.manifest import Run
 
 
-def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: int, total_bytes: int) -> list[Run]:
+#: Parquet's default bytes of a row group, each of which has a filter of its own, and the most that one may have.
+ROW_GROUP = 128 << 20
+MOST_FILTER = 16 << 20
+
+
+def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: int, total_bytes: int, rows: int) -> list[Run]:
     """Write entries in key order below ``root``; each file is a run with exact bounds.
 
-    Files are cut by range partitions of about ``run_bytes``. Their bounds are read back, as range bounds are sampled.
+    Files are cut by range partitions of about ``run_bytes``. Their bounds are read back, as range bounds are sampled. Filters
+    are sized for the keys that a row group has if ``rows`` are dealt evenly, and a quarter more; one that gets more is less sharp.
     """
     pieces = max(1, -(-total_bytes // run_bytes))
+    keys = max(64, min(rows // pieces, ROW_GROUP * rows // max(total_bytes, 1)) * 5 // 4)
     folder = f"l{level}-{uuid.uuid4().hex}"
     path = f"{root}/runs/{folder}"
-    entries.select(*MUTATION.names).repartitionByRange(pieces, "key").sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.page.write-checksum.enabled", "true").parquet(path)
+    options = {
+        "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(keys), "parquet.bloom.filter.max.bytes": str(MOST_FILTER),
+        "parquet.page.write-checksum.enabled": "true",
+    }
+    entries.select(*MUTATION.names).repartitionByRange(pieces, "key").sortWithinPartitions("key").write.options(**options).parquet(path)
     found = sorted(described(entries.sparkSession, [path]), key=lambda r: r["low"])
     return [Run(level, first_id + i, f"{folder}/{r['file'].rsplit('/', 1)[1]}", r["low"], r["high"], r["n"], r["size"]) for i, r in enumerate(found)]
 

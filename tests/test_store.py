@@ -277,3 +277,28 @@ def test_a_log_that_was_trimmed_begins_after_the_runs(spark, tmp_path):
     assert state(Store(spark, str(tmp_path), Options())) == {"a": "1", "b": "2", "c": "3"}
     (tmp_path / "log" / "b000000000001.json").unlink()  # after the recovery the manifest knows where the log begins
     assert state(Store(spark, str(tmp_path), Options())) == {"a": "1"}
+
+
+def test_filters_spare_runs_of_point_reads(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path), Options(level0_runs=8, flush_bytes=1 << 40))
+    keys = [f"k{i:05d}" for i in range(3000)]
+    for part in range(3):  # three runs over the same range, each with a third of the keys
+        s.put_batch([(k, f"v{k}") for k in keys[part::3]])
+        s.flush()
+    assert all(f is not None and f.getBitsetSize() <= 4096 for r in s.snapshot.runs for f in s.filters.of(r))  # sized for the keys
+    assert all(s.snapshot.runs[i % 3] in s.may_contain(k) for i, k in enumerate(keys[:300]))
+    among = keys[300:600]
+    assert sum(len(s.may_contain(k)) for k in among) <= len(among) * 1.1
+    s.skips = s.opened = 0
+    assert s.get(keys[0]) == "vk00000" and s.get("k00000x") is None and s.get("z") is None
+    assert s.skips + s.opened == 9 and s.opened <= 3 and s.stats()["skip_rate"] == 100 * s.skips / 9
+    with monkeypatch.context() as m:  # a miss that the filters answer needs no job
+        m.setattr("lamina.operators.read.get", None)
+        m.setattr(s.filters, "may_contain", lambda runs, key: [])
+        assert s.get("k00000y") is None
+    monkeypatch.setattr("lamina.sources.filters.MOST_HELD", 1)
+    s = Store(spark, str(tmp_path), s.options)
+    assert s.get(keys[1]) == "vk00001" and s.get(keys[2]) == "vk00002" and len(s.filters.held) == 1
+    s.delete(keys[0])
+    s.put("new", "1")
+    assert s.get(keys[0]) is None and s.get("new") == "1"
