@@ -139,5 +139,8 @@ def test_packed_filters(spark):
     assert again == packed and again.bits == bits
     some = others.limit(300).unionByName(keys.limit(300))
     assert sorted(map(tuple, bloom.probe(made, some, bits, hashes).collect())) == sorted(map(tuple, bloom.may_contain(made, some, bits, hashes).collect()))
+    nulls = spark.createDataFrame([("key-00000001",), (None,), (None,)], "key string")
+    assert bloom.build(nulls, bits, hashes).where("bit IS NULL").count() == 0
+    assert all(dict(map(tuple, how(made, nulls, bits, hashes).collect())) == {"key-00000001": True, None: False} for how in (bloom.probe, bloom.may_contain))
     with pytest.raises(ValueError):
         bloom.Packed.wrap(b"\0" * 24, 3)
