@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -55,5 +57,9 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was changed."""
+        return time.time() - self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def exists(self, name: str) -> bool:
         return bool(self.fs.exists(self.path(name)))

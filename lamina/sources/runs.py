@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions.expressions import entry_bytes
 from lamina.schema import MUTATION
 from lamina.sources.files import Files
-from lamina.sources.manifest import Run
+from lamina.sources.manifest import Run, level_of, moved_to
 
 
 #: Parquet's default bytes of a row group, each of which has a filter of its own, and the most that one may have.
@@ -34,7 +34,19 @@ def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: i
     }
     entries.select(*MUTATION.names).repartitionByRange(pieces, "key").sortWithinPartitions("key").write.options(**options).parquet(path)
     found = sorted(described(entries.sparkSession, [path]), key=lambda r: r["low"])
-    return [Run(level, first_id + i, f"{folder}/{r['file'].rsplit('/', 1)[1]}", r["low"], r["high"], r["n"], r["size"]) for i, r in enumerate(found)]
+    return [Run(level, first_id + i, f"{folder}/{r['file'].rsplit('/', 1)[1]}", r["low"], r["high"], r["n"], r["size"], r["dead"]) for i, r in enumerate(found)]
+
+
+def mark_moved(spark: SparkSession, root: str, runs: list[Run]) -> None:
+    """Write beside each run's file the level that it is about to be moved to, for a table whose manifest is lost.
+
+    This comes before the commit. If that fails, the run counts as older than it is in such a table, which changes nothing: what moves is
+    of the oldest of its level and shares no keys with the next.
+    """
+    files = Files(spark, root)
+    for r in runs:
+        folder, name = r.path.split("/")
+        files.write(f"{root}/runs/{folder}/_l{r.level}-{name}", "")
 
 
 def verified(spark: SparkSession) -> DataFrameReader:
@@ -46,28 +58,29 @@ def described(spark: SparkSession, paths: list[str]) -> list:
     """Exact bounds, rows, accounted bytes and range of seq of each file in some folders: a row for each file."""
     return verified(spark).parquet(*paths).groupBy(F.input_file_name().alias("file")).agg(
         F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.sum(entry_bytes(tombstone=F.col("tombstone"))).alias("size"),
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
+        F.count_if("tombstone").alias("dead"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
     ).collect()
 
 
 def listed(spark: SparkSession, root: str, num_levels: int) -> tuple[list[Run], int]:
     """All whole runs below ``root`` by their folders' names, and the next free seq: what a lost manifest knew.
 
-    A folder without its marker of success was never committed. Folders that a merge has replaced and that are not
-    vacuumed yet are found again; that changes no answer, as the newest version wins wherever it lies, and a merge's
+    A folder without its marker of success was never committed. A file that was moved counts for the level that its marker
+    has. Files that a merge has replaced and that are not vacuumed yet are found again; that changes no answer, as the newest version wins wherever it lies, and a merge's
     inputs have the tombstones that its output left out. As they may overlap, all go to level 0, older ones first:
     deeper levels before higher ones, then by seq, so that no tombstone is dropped before what it hides.
     """
     files = Files(spark, root)
-    level = {n: int(n[1:].split("-")[0]) for n in files.names(f"{root}/runs") if files.exists(f"{root}/runs/{n}/_SUCCESS")}
-    if any(x >= num_levels for x in level.values()):
+    level = {n: level_of(n) for n in files.names(f"{root}/runs") if files.exists(f"{root}/runs/{n}/_SUCCESS")}
+    deeper = {f"{n}/{f}": x for n in level for f, x in moved_to(files.names(f"{root}/runs/{n}")).items()}
+    if any(x >= num_levels for x in (*level.values(), *deeper.values())):
         raise ValueError(f"the table has more than {num_levels} levels")
     if not level:
         return [], 0
     found = [(*r["file"].rsplit("/", 2)[1:], r) for r in described(spark, [f"{root}/runs/{n}" for n in level])]
     first = {n: min(r["first_seq"] for m, _, r in found if m == n) for n in {n for n, _, _ in found}}
-    found.sort(key=lambda x: (-level[x[0]], first[x[0]], x[0], x[2]["low"]))
-    out = [Run(0, i, f"{n}/{f}", r["low"], r["high"], r["n"], r["size"]) for i, (n, f, r) in enumerate(found)]
+    found.sort(key=lambda x: (-deeper.get(f"{x[0]}/{x[1]}", level[x[0]]), first[x[0]], x[0], x[2]["low"]))
+    out = [Run(0, i, f"{n}/{f}", r["low"], r["high"], r["n"], r["size"], r["dead"]) for i, (n, f, r) in enumerate(found)]
     return out, max((r["last_seq"] for _, _, r in found), default=-1) + 1
 
 

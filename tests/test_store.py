@@ -52,7 +52,7 @@ def test_random_operations_equal_a_dict(spark, tmp_path):
     from lamina.operators.statistics import level_overlap
 
     assert not any(r.overlaps for r in level_overlap(s.catalog()).where("level > 0").collect())
-    assert s.vacuum() and state(s) == model
+    assert s.manifest.vacuum(s.snapshot, s.root, keep_versions=0) and state(s) == model  # what the last merge read
 
 
 def test_tombstones_are_gone_from_the_last_level(spark, tmp_path):
@@ -302,3 +302,64 @@ def test_filters_spare_runs_of_point_reads(spark, tmp_path, monkeypatch):
     s.delete(keys[0])
     s.put("new", "1")
     assert s.get(keys[0]) is None and s.get("new") == "1"
+
+
+def test_runs_that_share_no_keys_are_moved_and_not_written():
+    from lamina.plans.compaction import Merge, parts
+    from lamina.sources.manifest import Run
+
+    run = lambda level, i, low, high, size=100, dead=0: Run(level, i, f"f/{level}{i}", low, high, 1, size, dead)
+    split = lambda *runs, bottom=False: tuple({r.run_id for r in x} for x in parts(Merge(runs, 1, bottom), 100))
+    assert split(run(0, 1, "a", "b"), run(0, 2, "c", "d"), run(1, 3, "e", "f")) == (set(), {1, 2, 3})
+    assert split(run(0, 1, "a", "c"), run(1, 2, "c", "d"), run(0, 3, "e", "f")) == ({1, 2}, {3})
+    assert split(run(0, 1, "a", "z"), run(1, 2, "c", "d"), run(1, 3, "e", "f"), run(0, 4, "zz", "zzz")) == ({1, 2, 3}, {4})
+    # what is merged can be cut anywhere, so nothing that lies between is left out
+    assert split(run(0, 1, "a", "c"), run(0, 2, "b", "c"), run(0, 3, "e", "f"), run(0, 4, "h", "i"), run(1, 5, "i", "j")) == ({1, 2, 3, 4, 5}, set())
+    assert split(run(0, 1, "a", "c", 10), run(0, 2, "d", "e", 10), run(0, 3, "f", "g")) == ({1, 2}, {3})  # small ones grow
+    assert split(run(0, 1, "a", "c", 10), run(0, 2, "d", "e")) == (set(), {1, 2})
+    assert split(run(0, 1, "a", "c", 100, 1), run(0, 2, "d", "e"), bottom=True) == ({1}, {2})  # tombstones go in the bottom level
+    assert split(run(0, 1, "a", "c", 100, None), run(0, 2, "d", "e"), bottom=True) == ({1}, {2})  # not counted
+    assert split(run(0, 1, "a", "c", 100, 1), run(0, 2, "d", "e")) == (set(), {1, 2})
+
+
+@pytest.mark.parametrize("seed,num_levels", [(1, 2), (2, 4)])
+def test_moved_runs_survive_vacuum_and_a_lost_manifest(spark, tmp_path, seed, num_levels):
+    rng, model = random.Random(seed), {}
+    options = Options(num_levels=num_levels, flush_bytes=1 << 30, run_bytes=110, level0_runs=2, level_base=150)
+    s = Store(spark, str(tmp_path), options)
+    moved = 0
+    for step in range(8):
+        at = rng.randrange(4) * 10  # ranges that come again, so that some runs share keys and some don't
+        batch = [(f"k{at + i:03d}", f"v{step}-{i}") for i in range(10)]
+        s.put_batch(batch)
+        model.update(batch)
+        if step % 2:
+            gone = [f"k{rng.randrange(40):03d}" for _ in range(4)]
+            s.delete_keys(gone)
+            for k in gone:
+                model.pop(k, None)
+        s.flush()
+        moved += sum(c.get("moved", 0) for c in s.snapshot.compactions)
+        if step in (3, 6):
+            s.manifest.vacuum(s.snapshot, s.root, keep_versions=0)
+            named = {r.path for r in s.snapshot.runs}
+            assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "runs").glob("*/part-*")} == named
+            if step == 6:
+                s.put_batch([("k000", "after")])
+                model["k000"] = "after"
+                s.flush()
+            shutil.rmtree(tmp_path / "manifest")
+            s = Store(spark, str(tmp_path), options)
+        assert state(s) == model
+    assert moved and not s.has_overlapping_levels()
+    assert s.vacuum(grace=3600) == [] and state(s) == model
+
+
+def test_rows_in_order_are_written_once(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options(num_levels=4, flush_bytes=1 << 30, run_bytes=2000, level0_runs=2, level_base=3000))
+    for part in range(3):
+        s.put_batch([(f"k{i:05d}", "v") for i in range(part * 300, part * 300 + 300)])
+        s.flush()
+    stats = s.stats()
+    assert sum(stats["files_per_level"][1:]) and stats["compaction_bytes"] <= stats["flush_bytes"] / 4 and len(state(s)) == 900
+    assert s.get("k00450") == "v" and not s.has_overlapping_levels()
