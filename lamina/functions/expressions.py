@@ -12,6 +12,8 @@ MASK32 = (1 << 32) - 1
 FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
 
+VERSION = ("ts", "seq", "tombstone", "value")
+
 
 def version() -> Column:
     """What a mutation is ordered by among those of its key.
@@ -19,7 +21,7 @@ def version() -> Column:
     Rows of one batch that a table brought share a ``seq``; where even that is equal, a delete wins, then the greatest value, so
     that no answer depends on where a row lies.
     """
-    return F.struct("ts", "seq", "tombstone", "value")
+    return F.struct(*VERSION)
 
 
 def entry_bytes(key: str = "key", value: str = "value", tombstone: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.expressions import version
+from lamina.functions.expressions import VERSION, version
 
 
 def newest(mutations: DataFrame, key: str = "key") -> DataFrame:
@@ -14,9 +14,12 @@ def newest(mutations: DataFrame, key: str = "key") -> DataFrame:
     An aggregate and not a window: each task reduces its rows to one per key before they are shuffled, and a key
     with very many versions is no task of its own. A filter on the key is pushed below it; one on the value must
     come after it. The empty string is a key like any other.
+
+    Rows of a key and the version's columns alone are their own order, so that each is held and shuffled once.
     """
     rest = [c for c in mutations.columns if c != key]
-    return mutations.groupBy(key).agg(F.max_by(F.struct(*rest), version()).alias("__row")).select(key, "__row.*").select(*mutations.columns)
+    row = F.max(version()) if set(rest) == set(VERSION) else F.max_by(F.struct(*rest), version())
+    return mutations.groupBy(key).agg(row.alias("__row")).select(key, "__row.*").select(*mutations.columns)
 
 
 def live(mutations: DataFrame, key: str = "key") -> DataFrame:

@@ -12,17 +12,22 @@ from lamina.schema import MUTATION
 from lamina.sources.files import Files
 
 
+def _measured(batch: DataFrame) -> DataFrame:
+    """Add what is summed of each entry, as columns that are compiled: what is observed isn't."""
+    numbers = F.concat_ws(",", *[F.col(c).cast("string") for c in ("ts", "seq", "tombstone")])
+    return batch.select("*", entry_bytes(tombstone=F.col("tombstone")).alias("__bytes"), entry_crc("key", "value", numbers).alias("__crc"))
+
+
 def _sums() -> list[Column]:
     """Rows, accounted bytes, checksum (the sum of the entries', as rows have no order in a table) and the greatest seq."""
-    numbers = F.concat_ws(",", *[F.col(c).cast("string") for c in ("ts", "seq", "tombstone")])
     return [
-        F.count("*").alias("n"), F.coalesce(F.sum(entry_bytes(tombstone=F.col("tombstone"))), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum(entry_crc("key", "value", numbers)), F.lit(0)).alias("crc"), F.coalesce(F.max("seq"), F.lit(-1)).alias("seq"),
+        F.count("*").alias("n"), F.coalesce(F.sum("__bytes"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("__crc"), F.lit(0)).alias("crc"), F.coalesce(F.max("seq"), F.lit(-1)).alias("seq"),
     ]
 
 
 def frame_of(batch: DataFrame) -> dict:
-    return batch.agg(*_sums()).first().asDict()
+    return _measured(batch).agg(*_sums()).first().asDict()
 
 
 def valid_prefix(frames: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ class Log:
         """Write a batch and then its frame; one without rows leaves nothing. ``source`` is a stream's name and the number of its batch."""
         path = f"{self.folder}/b{batch_id:012d}"
         seen = Observation()  # summed while it is written, so a frame says what was meant to be there
-        mutations.select(*MUTATION.names).observe(seen, *_sums()).write.mode("overwrite").parquet(path)
+        _measured(mutations.select(*MUTATION.names)).observe(seen, *_sums()).select(*MUTATION.names).write.mode("overwrite").parquet(path)
         frame = seen.get
         if not frame["n"]:
             self.files.delete(path)
@@ -84,7 +89,7 @@ class Log:
             return {}
         try:
             number = F.regexp_extract(F.input_file_name(), r"/b(\d{12})/[^/]*$", 1).cast("long").alias("batch")
-            return {r["batch"]: {k: v for k, v in r.asDict().items() if k != "batch"} for r in self._read(batches).withColumn("batch", number).groupBy("batch").agg(*_sums()).collect()}
+            return {r["batch"]: {k: v for k, v in r.asDict().items() if k != "batch"} for r in _measured(self._read(batches).withColumn("batch", number)).groupBy("batch").agg(*_sums()).collect()}
         except Exception as e:
             if "FAILED_READ_FILE" not in str(e):
                 raise
