@@ -1,4 +1,4 @@
-"""Near-duplicate sets: MinHash bands find candidates, and the sets themselves verify every link.
+"""Near-duplicate sets: the sets themselves verify every link. MinHash bands could find candidates; the pipeline takes SimHash's.
 
 Two sets of Jaccard similarity s share the least hash under a random order with probability s, whatever their sizes,
 so all ``ROWS`` of one of ``BANDS`` bands agree with probability 1 - (1 - s ** ROWS) ** BANDS.

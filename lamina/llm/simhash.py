@@ -4,12 +4,16 @@ Fingerprints within distance t of each other agree within t_i on some part i, fo
 parts and any thresholds with sum(t_i + 1) = t + 1 (a threshold of -1 leaves a part out). Bits that go together
 in the data share a part, and each fingerprint gets the thresholds that dynamic programming finds cheapest for
 the candidates estimated for it, so crowded parts are left to a fingerprint's other parts.
+
+Near-duplicates by a similarity differ in too many bits for that guarantee. Their fingerprints are longer and have as many
+parts, each with a threshold of one bit in a block, as make it next to certain that one is within it; the sets are compared then.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log1p, log2
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,17 @@ CHUNK = 1 << 15
 CROWD = 256
 #: Shingles of one side of a block of sets, and rounds in which larger groups are first held against single sets.
 TOKENS, ROUNDS = 1_000_000, 2
+#: Blocks of a part and their bits, of which one may differ, and fingerprints that share a part's other bits, on average and at most.
+BLOCKS, FREE, GROUP = 4, 15, 1 << 15
+#: Words of two fingerprints that are compared, and bits of them that may differ. Sets of few shingles need that many: ties
+#: clear their bits, so those that share nothing agree in up to 0.57 of them.
+COMPARED, APART = 6, 115
+#: How often a bit differs between sets of a similarity of 0.8: at most this, and this where none has over ``SHORT`` shingles.
+DIFFER, DIFFER_SHORT, SHORT = 0.1612, 0.1875, 5
+#: The probability that a pair at exactly that similarity is near in none of its parts.
+MISSED = 7e-8
+#: Pairs of rows that are compared at once.
+PAIRS = 1 << 20
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -55,16 +70,19 @@ def more_bits(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def fingerprint(text: str, size: int, lanes: int = 1) -> tuple[np.ndarray, int]:
-    """The fingerprint's 64-bit words, and the number of shingles. A bit is set if over half of the hashes have it."""
-    h = shingle_hashes(text, size)
-    if not len(h):
-        return np.zeros(lanes, U), 0
+def majority(h: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """The 64-bit words of a fingerprint: a bit is set if over half of the hashes have it."""
     votes = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(h), CHUNK):
         bits = np.unpackbits(more_bits(h[at : at + CHUNK], lanes).astype(">u8").view(np.uint8).reshape(-1, 8 * lanes), axis=1)
         votes += bits.sum(0, dtype=np.int32)
-    return np.packbits(votes * 2 > len(h)).view(">u8").astype(U), len(h)
+    return np.packbits(votes * 2 > len(h)).view(">u8").astype(U)
+
+
+def fingerprint(text: str, size: int, lanes: int = 1) -> tuple[np.ndarray, int]:
+    """The fingerprint's 64-bit words, and the number of shingles."""
+    h = shingle_hashes(text, size)
+    return majority(h, lanes), len(h)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, lanes: int = 1) -> DataFrame:
@@ -281,21 +299,176 @@ def place_of(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+class Parts(NamedTuple):
+    """How long fingerprints are cut: a part has ``fixed`` bits that must agree, and blocks of ``FREE`` of one of which one bit may differ."""
+
+    fixed: int
+    long: int
+    short: int
+
+    def lanes(self, parts: int) -> int:
+        return max(COMPARED, -(-parts * (self.fixed + BLOCKS * FREE) // 64))
+
+    def cut(self, prints: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of words and their parts: the part's number with its fixed bits, and its blocks in one integer."""
+        width = self.fixed + BLOCKS * FREE
+        bits = bits_of(prints).reshape(len(prints), -1)[:, : parts * width].reshape(len(prints), parts, width)
+        fixed, free = (bits[..., some] @ (1 << np.arange(n, dtype=np.int64)[::-1]) for some, n in ((slice(self.fixed), self.fixed), (slice(self.fixed, width), BLOCKS * FREE)))
+        return np.arange(parts) << self.fixed | fixed, free
+
+
+def blocks_of(free: np.ndarray) -> list[np.ndarray]:
+    return [free >> FREE * i & (1 << FREE) - 1 for i in range(BLOCKS)]
+
+
+def plan_similar(rows: int) -> Parts:
+    """The parts for a table of ``rows``: the more rows, the more fixed bits, so that a group stays of ``GROUP``, and the more parts."""
+    fixed = ceil(log2(max(1, rows / GROUP)))
+
+    def parts(differ: float) -> int:
+        same = 1 - differ
+        block = same**FREE + FREE * differ * same ** (FREE - 1)
+        return ceil(log(MISSED) / log1p(-(same**fixed) * (1 - (1 - block) ** BLOCKS)))
+
+    return Parts(fixed, parts(DIFFER), parts(DIFFER_SHORT))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id_col``, ``fp`` (a 64-bit hash of the set of shingles), ``n`` different shingles, their ``bands`` and the text's ``place`` for each row."""
+    """``id_col``, ``fp`` (a 64-bit hash of the set of shingles), ``n`` different shingles, the set's long fingerprint ``bits`` and the text's ``place`` for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    plan = plan_similar(docs.count())
+
+    def bits(s: np.ndarray) -> bytes:
+        # sets of up to three shingles are only similar if they are equal
+        return majority(s, plan.lanes(plan.short if len(s) <= SHORT else plan.long)).astype(">u8").tobytes() if len(s) > 3 else b""
 
     def make(batches):
         for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t or "", size)) for t in batch.column(1).to_pylist()]
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], U).view(np.int64)
-            bands = pa.array([minhash.band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), bands, batch.column(2)], names=["id", "fp", "n", "bands", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.binary()), batch.column(2)], names=["id", "fp", "n", "bits", "place"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), place_of(id_col, text_col).alias("place")).mapInArrow(make, f"id {kind}, fp long, n long, bands array<long>, place long")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), place_of(id_col, text_col).alias("place")).mapInArrow(make, f"id {kind}, fp long, n long, bits binary, place long")
     return saved(out, "sets").withColumnRenamed("id", id_col)
 
 
+def spans(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ranges, one range after the other, and the number of each place's range."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
+
+
+def pieces(count: np.ndarray):
+    """Slices of ranges with ``PAIRS`` places together, or of a single range."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches by the edges."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = (x[root[a] != root[b]] for x in (a, b))
+    return root
+
+
+def joined_prints(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A row for each row, the same one for rows that pairs join whose keys differ in at most one bit and ``words`` in at most ``APART``.
+
+    Every such pair is compared, except where the rows are joined already. Each row is first held against the first one of its
+    key and of each key beside it, so that a crowd of near copies is one group after a comparison each.
+    """
+    order = np.argsort(key, kind="stable")
+    key, words = key[order], words[order]
+    keys, start = np.unique(key, return_index=True)
+    masks_ = [0, *(1 << b for b in range(FREE))]
+
+    def near(a, b):
+        ok = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64) <= APART
+        return a[ok], b[ok]
+
+    def beside(keys_, mask):
+        """Places of keys that differ by ``mask``, each pair once."""
+        other = keys_ ^ mask
+        at = np.minimum(np.searchsorted(keys_, other), len(keys_) - 1)
+        here = np.flatnonzero((keys_[at] == other) & (keys_ <= other))
+        return here, at[here]
+
+    count = np.diff(np.r_[start, len(key)])
+    edges = []
+    for mask in masks_:
+        p, q = beside(keys, mask)
+        owner, row = spans(start[q], count[q])
+        edges.append(near(start[p][owner], row))
+    root = roots(len(key), *map(np.concatenate, zip(*edges)))
+
+    # rows of a key that are joined already are one bunch; only bunches that aren't joined are compared, row by row
+    again = np.lexsort((root, key))
+    bunch = np.flatnonzero(np.r_[True, (np.diff(key[again]) != 0) | (np.diff(root[again]) != 0)])
+    size, own = np.diff(np.r_[bunch, len(key)]), root[again][bunch]
+    first = np.searchsorted(key[again][bunch], keys)
+    many = np.diff(np.r_[first, len(bunch)])
+    for mask in masks_:
+        p, q = beside(keys, mask)
+        owner, s = spans(first[p], many[p])
+        meets = many[q[owner]]
+        for piece in pieces(meets):
+            at, t = spans(first[q[owner[piece]]], meets[piece])
+            u = s[piece][at]
+            differ = (own[u] != own[t]) & ((mask > 0) | (u < t))
+            u, t = u[differ], t[differ]
+            of, row = spans(bunch[u], size[u])
+            for some in pieces(size[t[of]]):
+                at, other = spans(bunch[t[of[some]]], size[t[of[some]]])
+                edges.append(near(again[row[some][at]], again[other]))
+    out = np.empty(len(key), np.int64)
+    out[order] = order[roots(len(key), *map(np.concatenate, zip(*edges)))]
+    return out
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """``fp`` and ``band``, once each, for sets that may be similar by their long fingerprints: similar ones share a band, or the sets between them do.
+
+    A group has the rows that share a part's fixed bits. In it, rows that differ in at most one bit of some block are candidates if
+    the first words of their fingerprints are within ``APART`` bits; the least ``fp`` that these pairs reach is the band.
+    """
+    plan = plan_similar(sets.count())
+    names = [f"w{i}" for i in range(COMPARED)]
+
+    def deal(batches):
+        for batch in slices(batches, 256):
+            n, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for parts, some in ((plan.short, np.flatnonzero(n <= SHORT)), (plan.long, np.flatnonzero(n > SHORT))):
+                if not len(some):
+                    continue
+                prints = np.frombuffer(b"".join(batch.column(2).take(pa.array(some)).to_pylist()), ">u8").astype(U).reshape(len(some), -1)
+                part, free = plan.cut(prints, parts)
+                columns = [part.ravel(), free.ravel(), np.repeat(fp[some], parts), *(np.repeat(prints[:, i].view(np.int64), parts) for i in range(COMPARED))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "free", "fp", *names])
+
+    def join(rows: pa.Table) -> pa.Table:
+        fp = rows["fp"].to_numpy()
+        words = np.stack([rows[n].to_numpy().view(U) for n in names], 1)
+        joins = [joined_prints(key, words) for key in blocks_of(rows["free"].to_numpy())]
+        root = roots(len(fp), np.tile(np.arange(len(fp)), BLOCKS), np.concatenate(joins))
+        least = np.full(len(fp), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, fp)
+        kept = np.bincount(root, minlength=len(fp))[root] > 1
+        return pa.table({"fp": fp[kept], "band": least[root][kept]})
+
+    distinct = sets.where("n > 3").groupBy("fp").agg(F.max("n").alias("n"), F.first("bits").alias("bits")).select("n", "fp", "bits")
+    dealt = distinct.mapInArrow(deal, ", ".join(f"{c} long" for c in ("part", "free", "fp", *names)))
+    return dealt.groupBy("part").applyInArrow(join, "fp long, band long").distinct()
+
+
 def stars(keyed: DataFrame) -> DataFrame:
     """``fp`` and ``least`` for each ``fp`` that shares a band with a lower one: edges to the least of each band."""
     return keyed.join(keyed.groupBy("band").agg(F.min("fp").alias("least")), "band").where("fp != least").select("fp", "least").distinct()
@@ -310,9 +483,7 @@ def verified_links(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     whose sets those links join need no more, and the others go on without their least set. What is still that large after
     ``rounds`` of it, so many sets that share bands and aren't similar, is dealt into blocks of which a task holds two.
     """
-    exploded = sets.select("fp", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("band")
-    keyed = cut(exploded.join(shared, "band").select("fp", "band").distinct())
+    keyed = cut(candidates(sets))
     own = cut(sets.groupBy("fp").agg(F.min("place").alias("place"), F.max("n").alias("n")).join(keyed.select("fp").distinct(), "fp"))
     rows = docs.select(place_of(id_col, text_col).alias("place"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # rows that are equal in id and text are one before they are shuffled

@@ -132,6 +132,67 @@ def test_bands_agree_as_often_as_they_should():
         assert rate < 0.8 or min(same) > 0
 
 
+def test_candidates_come_from_fingerprints(spark, texts, monkeypatch):
+    """Pairs at 0.8, long, short and of four and five shingles, are candidates by SimHash, in one group or in many; strangers aren't."""
+    rng = random.Random(15)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    pairs = []
+    for n, last in ((8, 1), (9, 1), (34, 3), (27, 1), (308, 33)):  # words, and how many are added or replaced at the end
+        for _ in range(60):
+            words = [word() for _ in range(n)]
+            pairs.append((words, [*words, word()] if last == 1 else words[:-last] + [word() for _ in range(last)]))
+    assert all(jaccard(" ".join(a), " ".join(b)) >= 0.8 for a, b in pairs)
+    rows = [" ".join(words) for p in pairs for words in p]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for group in (simhash.GROUP, 40):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        plan, sets = simhash.plan_similar(600), simhash.shingle_sets(df, "doc_id", "text", 5)
+        for r in sets.collect():
+            h = np.unique(simhash.shingle_hashes(rows[r.doc_id], 5))
+            assert r.bits == simhash.majority(h, plan.lanes(plan.short if r.n <= 5 else plan.long)).astype(">u8").tobytes()
+        ids = {r.fp: r.doc_id for r in sets.collect()}
+        found = {}
+        for r in simhash.candidates(sets).collect():
+            found.setdefault(r.band, set()).add(ids[r.fp] // 2)
+        assert set().union(*found.values()) == set(range(len(pairs))) and all(len(f) == 1 for f in found.values())
+
+
+def test_joined_prints_equal_brute_force(monkeypatch):
+    """Crowds, strangers and chains: the groups are those of all pairs, also where pairs are compared few at a time."""
+    rng = np.random.default_rng(16)
+    for pairs in (simhash.PAIRS, 7):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        key, words = rng.integers(0, 24, 300), rng.integers(0, 2**64, (300, 6), np.uint64)
+        for i in range(100, 300):  # near copies of one of five, up to and over the limit
+            flips = rng.choice(384, rng.integers(30, 100), replace=False)
+            words[i] = words[i % 5] ^ np.array([sum(1 << int(b % 64) for b in flips if b // 64 == w) for w in range(6)], np.uint64)
+        near = [(a, b) for a, b in itertools.combinations(range(300), 2) if int(key[a] ^ key[b]).bit_count() <= 1 and np.bitwise_count(words[a] ^ words[b]).sum() <= simhash.APART]
+        got, want = simhash.joined_prints(key, words), joined(range(300), near)
+        assert len(near) > 200 and len(set(got)) == len(set(want.values())) == len({(got[i], want[i]) for i in range(300)})
+
+
+def test_bits_differ_as_rarely_as_the_plan_says():
+    """Sets of 0.8 or more that share up to 48 hashes, in every way to differ, by the votes that they share; and long ones drawn."""
+    votes = lambda n: np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+
+    for shared in range(4, 49):
+        for own, other in itertools.product(range(shared // 4 + 1), repeat=2):
+            if 0 < own + other <= shared / 4:
+                one, one_b = ((votes(x) * (2 * (np.arange(shared + 1)[:, None] + np.arange(x + 1)) > shared + x)).sum(1) for x in (own, other))
+                differ = (votes(shared) * (one * (1 - one_b) + (1 - one) * one_b)).sum()
+                assert differ <= (simhash.DIFFER_SHORT if shared + max(own, other) <= simhash.SHORT else simhash.DIFFER)
+    rng, plan = np.random.default_rng(17), simhash.plan_similar(10**6)
+    same, apart = [], []
+    for _ in range(300):
+        h = rng.integers(0, 2**64, 450, dtype=np.uint64)
+        a, b = (np.stack([simhash.majority(s, plan.lanes(plan.long))]) for s in (h[:425], np.r_[h[:375], h[425:], h[375:400]]))
+        (p, x), (q, y) = plan.cut(a, plan.long), plan.cut(b, plan.long)
+        near = np.min([np.bitwise_count(k ^ m) for k, m in zip(simhash.blocks_of(x), simhash.blocks_of(y))], axis=0) <= 1
+        same.append(((p == q) & near).mean())
+        apart.append(np.bitwise_count(a[:, : simhash.COMPARED] ^ b[:, : simhash.COMPARED]).sum())
+    assert min(same) > 0 and max(apart) <= simhash.APART
+
+
 def test_repeated_shingles_count_once(spark, texts):
     """A text and the same text twice over, and one with a line repeated many times, are near copies as sets."""
     rng = random.Random(14)
