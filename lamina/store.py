@@ -208,7 +208,10 @@ class Store:
         return frame["n"], frame["bytes"]
 
     def table(self) -> DataFrame:
-        return resolve.live(self.mutations()).select("key", "value")
+        """The visible state. Runs of one level below 0 share no keys, so where they are all there is, nothing needs to be resolved."""
+        levels = {r.level for r in self.snapshot.runs}
+        once = len(levels) == 1 and 0 not in levels and not (self.frames or self.pending)
+        return (self.mutations().where(~F.col("tombstone")) if once else resolve.live(self.mutations())).select("key", "value")
 
     def get(self, key: str) -> str | None:
         """The value of a key, or None; where no run may have it and nothing is unflushed, without a job."""

@@ -363,3 +363,24 @@ def test_rows_in_order_are_written_once(spark, tmp_path):
     stats = s.stats()
     assert sum(stats["files_per_level"][1:]) and stats["compaction_bytes"] <= stats["flush_bytes"] / 4 and len(state(s)) == 900
     assert s.get("k00450") == "v" and not s.has_overlapping_levels()
+
+
+def test_a_rebuilt_table_is_merged_at_once(spark, tmp_path):
+    options = Options(num_levels=3, level0_runs=1, level_base=1, flush_bytes=1 << 30, run_bytes=500)
+    s, model = Store(spark, str(tmp_path), options), {}
+    for step in range(4):
+        batch = {f"k{i * (step + 1) % 97:03d}": f"v{step}-{i}" for i in range(60)}
+        s.put_batch(list(batch.items()))
+        s.delete_keys([f"k{step:03d}", f"k{step * 7:03d}"])
+        model = {k: v for k, v in (model | batch).items() if k not in (f"k{step:03d}", f"k{step * 7:03d}")}
+        s.flush()
+        assert {r.level for r in s.snapshot.runs} == {2}  # past the level that has no room
+    s.delete("k050")
+    model.pop("k050", None)
+    shutil.rmtree(tmp_path / "manifest")
+    again = Store(spark, str(tmp_path), options)
+    before = len({r.path.split("/")[0] for r in again.snapshot.runs})
+    again.flush()
+    assert before > 4 and len(again.snapshot.compactions) == 1 and {r.level for r in again.snapshot.runs} == {2}
+    assert not again.has_overlapping_levels() and again.mutations().where("tombstone").count() == 0
+    assert state(again) == model == state(Store(spark, str(tmp_path), options))
