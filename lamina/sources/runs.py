@@ -16,15 +16,23 @@ from lamina.sources.manifest import Run, level_of, moved_to
 #: Parquet's default bytes of a row group, each of which has a filter of its own, and the most that one may have.
 ROW_GROUP = 128 << 20
 MOST_FILTER = 16 << 20
+#: A write of more files than these makes them larger instead, up to so many accounted bytes each; beyond, it makes more.
+MANY_FILES = 64
+LARGE_RUN = 256 << 20
+
+
+def pieces_of(total_bytes: int, run_bytes: int) -> int:
+    """How many files a write has. Each costs a task, renames and a line of the manifest, so their number must not follow a table's size with small runs."""
+    return max(1, -(-total_bytes // max(run_bytes, min(-(-total_bytes // MANY_FILES), LARGE_RUN))))
 
 
 def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: int, total_bytes: int, rows: int) -> list[Run]:
     """Write entries in key order below ``root``; each file is a run with exact bounds.
 
-    Files are cut by range partitions of about ``run_bytes``. Their bounds are read back, as range bounds are sampled. Filters
+    Files are cut by range partitions of about ``run_bytes``, or more (see :func:`pieces_of`). Their bounds are read back, as range bounds are sampled. Filters
     are sized for the keys that a row group has if ``rows`` are dealt evenly, and a quarter more; one that gets more is less sharp.
     """
-    pieces = max(1, -(-total_bytes // run_bytes))
+    pieces = pieces_of(total_bytes, run_bytes)
     keys = max(64, min(rows // pieces, ROW_GROUP * rows // max(total_bytes, 1)) * 5 // 4)
     folder = f"l{level}-{uuid.uuid4().hex}"
     path = f"{root}/runs/{folder}"

@@ -384,3 +384,11 @@ def test_a_rebuilt_table_is_merged_at_once(spark, tmp_path):
     assert before > 4 and len(again.snapshot.compactions) == 1 and {r.level for r in again.snapshot.runs} == {2}
     assert not again.has_overlapping_levels() and again.mutations().where("tombstone").count() == 0
     assert state(again) == model == state(Store(spark, str(tmp_path), options))
+
+
+def test_files_of_a_write_do_not_follow_the_tables_size():
+    from lamina.sources.runs import LARGE_RUN, pieces_of
+
+    assert [pieces_of(n, 100) for n in (0, 1, 100, 101, 6400)] == [1, 1, 1, 2, 64]
+    assert pieces_of(6401, 100) == pieces_of(1 << 30, 100) == 64  # more bytes, not more files
+    assert pieces_of(LARGE_RUN * 1000, 100) == 1000 and pieces_of(1 << 40, 1 << 35) == 32
