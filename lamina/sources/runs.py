@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,12 @@ def pieces_of(total_bytes: int, run_bytes: int) -> int:
     return max(1, -(-total_bytes // max(run_bytes, min(-(-total_bytes // MANY_FILES), LARGE_RUN))))
 
 
-def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: int, total_bytes: int, rows: int) -> list[Run]:
+def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: int, total_bytes: int, rows: int, reduce: Callable[[DataFrame], DataFrame] | None = None) -> list[Run]:
     """Write entries in key order below ``root``; each file is a run with exact bounds.
 
     Files are cut by range partitions of about ``run_bytes``, or more (see :func:`pieces_of`). Their bounds are read back, as range bounds are sampled. Filters
     are sized for the keys that a row group has if ``rows`` are dealt evenly, and a quarter more; one that gets more is less sharp.
+    ``reduce`` is a reduction by key that is made in the range partitions, so that it needs no shuffle of its own; a key must have few rows then.
     """
     pieces = pieces_of(total_bytes, run_bytes)
     keys = max(64, min(rows // pieces, ROW_GROUP * rows // max(total_bytes, 1)) * 5 // 4)
@@ -40,7 +42,8 @@ def write(entries: DataFrame, root: str, level: int, first_id: int, run_bytes: i
         "parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(keys), "parquet.bloom.filter.max.bytes": str(MOST_FILTER),
         "parquet.page.write-checksum.enabled": "true",
     }
-    entries.select(*MUTATION.names).repartitionByRange(pieces, "key").sortWithinPartitions("key").write.options(**options).parquet(path)
+    ranged = entries.select(*MUTATION.names).repartitionByRange(pieces, "key")
+    (reduce(ranged) if reduce else ranged).sortWithinPartitions("key").write.options(**options).parquet(path)
     found = sorted(described(entries.sparkSession, [path]), key=lambda r: r["low"])
     return [Run(level, first_id + i, f"{folder}/{r['file'].rsplit('/', 1)[1]}", r["low"], r["high"], r["n"], r["size"], r["dead"]) for i, r in enumerate(found)]
 
@@ -62,12 +65,20 @@ def verified(spark: SparkSession) -> DataFrameReader:
     return spark.read.schema(MUTATION).option("parquet.page.verify-checksum.enabled", "true")
 
 
-def described(spark: SparkSession, paths: list[str]) -> list:
-    """Exact bounds, rows, accounted bytes and range of seq of each file in some folders: a row for each file."""
-    return verified(spark).parquet(*paths).groupBy(F.input_file_name().alias("file")).agg(
-        F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.sum(entry_bytes(tombstone=F.col("tombstone"))).alias("size"),
-        F.count_if("tombstone").alias("dead"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-    ).collect()
+def described(spark: SparkSession, paths: list[str]) -> list[dict]:
+    """Exact bounds, rows, accounted bytes and range of seq of each file in some folders: a row for each file.
+
+    Every row is read and summed. The bounds are the keys at the places of the first, after nulls, and the last row, as a file is in key order: least
+    and greatest strings would be found by sorting all rows by file, sums are not.
+    """
+    rows = verified(spark).parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    found = [r.asDict() for r in rows.groupBy("file").agg(
+        F.count("*").alias("n"), F.sum(entry_bytes(tombstone=F.col("tombstone"))).alias("size"), F.count_if("tombstone").alias("dead"),
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_if(F.col("key").isNull()).alias("nulls"),
+    ).collect()]
+    ends = spark.createDataFrame([(r["file"], p) for r in found for p in {r["nulls"], r["n"] - 1}], "file string, place long")  # two rows for each file
+    key = {(r["file"], r["place"]): r["key"] for r in rows.select("file", "place", "key").join(F.broadcast(ends), ["file", "place"]).collect()}
+    return [r | {"low": key.get((r["file"], r["nulls"])), "high": key.get((r["file"], r["n"] - 1))} for r in found]
 
 
 def listed(spark: SparkSession, root: str, num_levels: int) -> tuple[list[Run], int]:

@@ -163,8 +163,10 @@ class Store:
         inputs, moved = compaction.parts(plan, self.options.run_bytes)
         new = []
         if inputs:
-            entries = merge.merge(runs.read(self.spark, self.root, inputs), plan.bottom)
-            new = runs.write(entries, self.root, plan.level, self.snapshot.next_run, self.options.run_bytes, sum(r.bytes for r in inputs), sum(r.rows for r in inputs))
+            size, rows = sum(r.bytes for r in inputs), sum(r.rows for r in inputs)
+            new = runs.write(  # a run has a key once, so a key has few rows
+                runs.read(self.spark, self.root, inputs), self.root, plan.level, self.snapshot.next_run, self.options.run_bytes, size, rows, lambda r: merge.merge(r, plan.bottom)
+            )
         moved = [replace(r, level=plan.level) for r in moved]
         gone = set(plan.inputs)
         written = sum(r.bytes for r in new)

@@ -392,3 +392,40 @@ def test_files_of_a_write_do_not_follow_the_tables_size():
     assert [pieces_of(n, 100) for n in (0, 1, 100, 101, 6400)] == [1, 1, 1, 2, 64]
     assert pieces_of(6401, 100) == pieces_of(1 << 30, 100) == 64  # more bytes, not more files
     assert pieces_of(LARGE_RUN * 1000, 100) == 1000 and pieces_of(1 << 40, 1 << 35) == 32
+
+
+def test_merges_and_whole_levels_shuffle_no_key_twice(spark, tmp_path, monkeypatch):
+    from lamina.operators import resolve
+
+    s = Store(spark, str(tmp_path), Options(num_levels=2, level0_runs=1, flush_bytes=1 << 30, run_bytes=300))
+    plans, reduced = [], resolve.newest
+    monkeypatch.setattr("lamina.operators.merge.newest", lambda rows: (plans.append((out := reduced(rows))._jdf.queryExecution().executedPlan().toString()), out)[1])
+    for step in range(2):
+        s.put_batch([(f"k{i:03d}", f"v{step}") for i in range(step * 3, 40)])
+        s.flush()
+    assert plans and all(p.count("Exchange") == 1 and "rangepartitioning" in p for p in plans)
+    assert "Exchange" not in s.table()._jdf.queryExecution().executedPlan().toString()
+    assert state(s) == {f"k{i:03d}": f"v{int(i > 2)}" for i in range(40)}
+    s.put("k000", "new")
+    assert state(s)["k000"] == "new" and len(state(s)) == 40
+
+
+def test_bounds_come_from_the_rows_places(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lamina.sources import runs
+
+    keys = ["", "a", "\u00e9", "\U0001f600", "z" * 5000, None, None]
+    rows = spark.createDataFrame([(k, "v", i, i, i % 3 == 0) for i, k in enumerate(keys)], MUTATION)
+    made = runs.write(rows, str(tmp_path), 0, 0, 1 << 20, 1, 7)
+    assert [(r.min_key, r.max_key, r.rows, r.tombstones) for r in made] == [("", "\U0001f600", 7, 3)]
+    runs.write(spark.createDataFrame([(f"k{i}", "v", i, i, False) for i in range(500)], MUTATION), str(tmp_path), 0, 0, 100, 1000, 500)
+    found = runs.described(spark, [f"{tmp_path}/runs/{n.name}" for n in (tmp_path / "runs").iterdir()])
+    want = {}
+    for r in runs.verified(spark).parquet(f"{tmp_path}/runs/*").withColumn("file", F.input_file_name()).collect():
+        want.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+    assert len(found) == len(want) > 5
+    for f in found:
+        rows = want[f["file"].rsplit("/", 1)[1]]
+        known = [r.key.encode() for r in rows if r.key is not None]
+        assert (f["low"].encode(), f["high"].encode(), f["n"], f["first_seq"]) == (min(known), max(known), len(rows), min(r.seq for r in rows))
