@@ -54,6 +54,7 @@ class Commit(Enum):
 @dataclass(frozen=True)
 class Options:
     """``use_log=False`` writes runs at once, without a log. ``flush_bytes`` and ``run_bytes`` are accounted bytes.
+    Writes of many files make runs larger than ``run_bytes``, see ``sources.runs.pieces_of``.
 
     The defaults are those of a small table. A run is a file and a line of the manifest, so a table of terabytes wants
     ``flush_bytes`` and ``run_bytes`` of a gigabyte or so and a ``level_base`` of many.
